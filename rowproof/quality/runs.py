@@ -68,16 +68,20 @@ def daily(entries: DataFrame, at: str = "at") -> DataFrame:
 def input_keys(bindings: DataFrame) -> DataFrame:
     """Per run, 16 hex digits naming which stage read which bytes (the path where none were hashed).
 
-    `bindings` holds run_id, stage_id, path, filename, sha256: a run has one row per bound file.
+    `bindings` holds run_id, stage_id, path, filename, sha256, one row per bound file. The
+    bindings of a run are hashed one by one and summed, so their order does not matter and a
+    run with very many files is never gathered.
     """
-    content = F.coalesce(F.nullif("sha256", F.lit("")), F.concat(F.lit("path:"), "path"))
-    pairs = F.array_sort(F.collect_list(F.array("stage_id", content)))
-    shown = F.transform(pairs, lambda p: F.concat(F.to_json(F.array(p[0])), F.lit("|"), F.to_json(F.array(p[1]))))
-    # Written as JSON with a space after each comma.
-    text = F.concat(F.lit("["), F.array_join(F.transform(shown, lambda s: F.replace(
-        s, F.lit("]|["), F.lit(", "))), ", "), F.lit("]"))
-    return bindings.groupBy("run_id").agg(
-        F.substring(F.sha2(text, 256), 1, 16).alias("input_key"), F.count(F.lit(1)).alias("files"))
+    content = F.coalesce(F.nullif("sha256", F.lit("")), F.concat(F.lit("path:"), F.col("path")))
+    digest = F.sha2(F.concat(F.col("stage_id"), F.lit("\x1f"), content), 256)
+
+    def half(start: int) -> Column:
+        return F.sum(F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(38,0)"))
+
+    summed = bindings.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("files"), half(1).alias("_a"), half(16).alias("_b"))
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in ("files", "_a", "_b")])
+    return summed.select("run_id", F.substring(F.sha2(text, 256), 1, 16).alias("input_key"), "files")
 
 
 def runs_on_same_inputs(bindings: DataFrame) -> DataFrame:
