@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowproof.session import configure, shared_folder
+from rowproof.session import configure, session_folder
 from rowproof.sources import read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,4 +19,4 @@ def table(spark: SparkSession, folder: str, name: str, ordinals: bool = True) ->
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder all executors share."""
-    return f"{shared_folder(configure(spark))}/{label}-{uuid.uuid4().hex}"
+    return f"{session_folder(configure(spark))}/{label}-{uuid.uuid4().hex}"

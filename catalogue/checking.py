@@ -272,7 +272,7 @@ def _workflow(spark, folder):
 
 def _history(spark, folder):
     flow = _workflow(spark, folder)
-    run = flow.build(["totals"])
+    run = flow.build(["totals"], stored=["large"])
     return run, {s.id: Stage(s.kind, s.inputs, run.table(s.id),
                              run.edges(s.id) if s.inputs and s.id != "banded" else None) for s in flow.stages}
 

@@ -14,7 +14,8 @@ from rowproof.ordinals import ORD
 from rowproof.quality import runs
 from rowproof.quality.scoring import Expect, check_counts, coverage, failed_rows, rollup, run_cases, score
 from rowproof.schema import Col, Table
-from rowproof.sources import export_csv, publish, read_source, source_edges, weigh_files, write_output
+from rowproof.session import land
+from rowproof.sources import export_csv, publish, read_source, source_edges, spread, weigh_files, write_output
 from rowproof.sources.sinks import BOM, export_bundle
 
 QUERIES: dict[str, Query] = {}
@@ -38,7 +39,7 @@ _STAGE_FP = "0123456789abcdef"
 
 
 def _documents(spark, folder):
-    return narrow(table(spark, folder, "documents"), ["doc_id", "text", "lang", "n_chars"])
+    return spread(narrow(table(spark, folder, "documents"), ["doc_id", "text", "lang", "n_chars"]))
 
 
 def _decisions(spark, folder):
@@ -46,12 +47,12 @@ def _decisions(spark, folder):
     documents = _documents(spark, folder)
     named = documents.select("doc_id", "lang", row_fingerprint(documents, list(_QUEUE.reads)).alias("row_fp"))
     labels = table(spark, folder, "labels", ordinals=False)
-    return named.join(labels, "doc_id").select(
+    return land(named.join(labels, "doc_id").select(
         F.lit(_STAGE_FP).alias("stage_fp"), "row_fp",
         F.when(F.col("toxic") == 1, "xx").otherwise(F.col("lang")).alias("reviewed_lang"),
         F.when(F.col("toxic") == 1, "modify").otherwise("approve").alias("verdict"),
         F.lit("pat").alias("reviewer"), F.lit("2026-01-01T00:00:00Z").alias("reviewed_at"),
-        F.when(F.col("quality") == 0, "weak").alias("notes"))
+        F.when(F.col("quality") == 0, "weak").alias("notes")), "decisions")
 
 
 def _reviewed(spark, folder):
@@ -113,9 +114,9 @@ def _cache(spark, folder):
     documents = _documents(spark, folder)
     named = documents.select("doc_id", row_fingerprint(documents, ["text"]).alias("row_fp"))
     labels = table(spark, folder, "labels", ordinals=False)
-    return named.join(labels, "doc_id").select(
+    return land(named.join(labels, "doc_id").select(
         F.lit(KEY_VERSION).alias("key_version"), F.lit("words").alias("stage"), F.lit(_STAGE_FP).alias("stage_fp"),
-        "row_fp", F.lit("{}").alias("frozen_input"), F.to_json(F.struct(F.col("quality").alias("words"))).alias("output"))
+        "row_fp", F.lit("{}").alias("frozen_input"), F.to_json(F.struct(F.col("quality").alias("words"))).alias("output")), "cache")
 
 
 def _replayed(spark, folder):

@@ -14,7 +14,7 @@ from rowproof.operators.project import branch_coverage, check_writes
 from rowproof.operators.join import align
 from rowproof.ordinals import ORD
 from rowproof.schema import Col, Table
-from rowproof.sources.readers import split_list
+from rowproof.sources.readers import split_list, spread
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -493,7 +493,7 @@ def explode_keep_empty(spark, folder):
 WITH w AS (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS word FROM documents)
 SELECT lang, count(*) AS words, count(DISTINCT word) AS kinds, max(word) AS last FROM w WHERE word <> '' GROUP BY lang""")
 def explode_whole_texts(spark, folder):
-    documents = replace(table(spark, folder, "documents"), {"lang": "lang", "word": "split(text, ' ')"}).frame
+    documents = replace(spread(table(spark, folder, "documents")), {"lang": "lang", "word": "split(text, ' ')"}).frame
     words = explode_rows(documents, "word").frame
     only = "word != ''"
     return aggregate(words.where("word <> ''"), ["lang"], [

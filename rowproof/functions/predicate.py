@@ -197,13 +197,16 @@ class _Compiler:
         test = {
             "==": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b,
         }[shown]
-        for column, dtype in ((a, a_type), (b, b_type)):
+        # NaN sorts above every number, so it must be kept off the greater side and out of ==.
+        guarded = {"<": (False, True), "<=": (False, True), ">": (True, False), ">=": (True, False)}
+        for column, dtype, guard in zip((a, b), (a_type, b_type), guarded.get(shown, (True, True))):
             if dtype is None:
                 continue
             if or_absent:
                 test = test | absent(column, dtype)
-            elif isinstance(dtype, (T.DoubleType, T.FloatType)):
-                test = test & ~F.isnan(column)
+            elif isinstance(dtype, (T.DoubleType, T.FloatType)) and guard:
+                # Said as a bound, which the scan accepts where it would not accept isnan.
+                test = test & (column <= F.lit(float("inf")))
         return test
 
     @staticmethod

@@ -56,8 +56,12 @@ def exact_medians(df: DataFrame, columns: list[str], small: int = SMALL) -> dict
     whole = values.agg(*[f for i in range(len(columns)) for f in (
         F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"a{i}"), F.max(f"v{i}").alias(f"z{i}"))]).first()
     targets: list[_Target] = []
+    few = [i for i in range(len(columns)) if 0 < whole[f"n{i}"] <= small]
+    direct = values.agg(*[F.median(f"v{i}").alias(f"m{i}") for i in few]).first() if few else None
     for i in range(len(columns)):
         n = whole[f"n{i}"]
+        if i in few:
+            continue
         for rank in ({(n + 1) // 2, n // 2 + 1} if n else ()):
             targets.append(_Target(i, rank, whole[f"a{i}"], whole[f"z{i}"], 0, n))
     while True:
@@ -71,6 +75,9 @@ def exact_medians(df: DataFrame, columns: list[str], small: int = SMALL) -> dict
             _round(values, [t for t in open_ if not t.found])
     medians: dict[str, float | None] = {}
     for i, c in enumerate(columns):
+        if i in few:
+            medians[c] = direct[f"m{i}"]
+            continue
         found = [t.low for t in targets if t.column == i]
         medians[c] = sum(found) / len(found) if found else None
     return medians

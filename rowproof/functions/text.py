@@ -61,10 +61,15 @@ def render_text(df: DataFrame) -> DataFrame:
         for f in df.schema.fields])
 
 
+# Texts with at most this many distinct characters outside ASCII are escaped by whole-text
+# replacements, one per character; richer ones character by character.
+_FEW = 64
+
+
 def _escaped(column: Column) -> Column:
-    """A JSON string of ASCII characters only; the per-character path runs for others alone."""
-    listed = F.to_json(F.array(column))
-    quoted = F.substr(listed, F.lit(2), F.length(listed) - 2)
+    """A JSON string of ASCII characters only; ASCII texts skip the escaping."""
+    # A one-element array holds the string in brackets; its quotes stop the trim.
+    quoted = F.btrim(F.to_json(F.array(column)), F.lit("[]"))
 
     def unit(value: Column) -> Column:
         return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(value)), 4, "0"))
@@ -76,8 +81,11 @@ def _escaped(column: Column) -> Column:
                         unit(above.bitwiseAND(0x3FF) + 0xDC00))
         return F.when(point < 0x80, c).when(point < 0x10000, unit(point)).otherwise(pair)
 
-    ascii_only = F.array_join(F.transform(F.split(quoted, ""), character), "")
-    return F.when(quoted.rlike(r"[^\x00-\x7F]"), ascii_only).otherwise(quoted)
+    distinct = F.array_distinct(F.split(F.regexp_replace(column, r"[\x00-\x7F]+", ""), ""))
+    by_text = F.reduce(distinct, quoted, lambda text, c: F.replace(text, c, character(c)))
+    by_character = F.array_join(F.transform(F.split(quoted, ""), character), "")
+    return (F.when(F.length(column) == F.octet_length(column), quoted)
+            .when(F.size(distinct) <= _FEW, by_text).otherwise(by_character))
 
 
 def json_cell(column: Column, dtype: T.DataType) -> Column:

@@ -91,8 +91,13 @@ class Workflow:
                 raise ContractError(f"stage {stage!r}: {error}") from error
         return found
 
-    def build(self, wanted: Sequence[str], given: Mapping[str, DataFrame] | None = None) -> "Run":
-        """Steps for the wanted stages. A stage in `given` is not built: its table is used as it is."""
+    def build(self, wanted: Sequence[str], given: Mapping[str, DataFrame] | None = None,
+              stored: Sequence[str] = ()) -> "Run":
+        """Steps for the wanted stages. A stage in `given` is not built: its table is used as it is.
+
+        The numbered rows of a stage in `stored` are written once, and its readers, edges and
+        traces use that copy; the others are worked out again by each use.
+        """
         given = dict(given or {})
         run = Run(self, {})
         for stage in self.upstream_first(wanted, given):
@@ -102,7 +107,8 @@ class Workflow:
                 continue
             spec = self[stage]
             made = spec.make(*[run.table(i) for i in spec.inputs])
-            run.steps[stage] = made if isinstance(made, Step) else Step(made, (ORD,))
+            step = made if isinstance(made, Step) else Step(made, (ORD,))
+            run.steps[stage] = step.stored() if stage in stored else step
         return run
 
 

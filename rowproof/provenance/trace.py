@@ -167,21 +167,36 @@ def _hops(spec: Stage, stage: str, ordinal: int):
 # ── many rows ──────────────────────────────────────────────────────────────
 
 
+def _seeded(history: History, seeds: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The seeds written once, and the stages a walk from them can meet, readers first."""
+    landed = land(seeds.select("stage", F.col("ord").cast("bigint").alias("ord")), "seeds")
+    met: set[str] = set()
+    open_ = [r[0] for r in landed.select("stage").distinct().collect()]
+    unknown = sorted(set(open_) - set(history))
+    if unknown:
+        raise ContractError(f"seeds name stages that are not in this run: {unknown}")
+    while open_:
+        stage = open_.pop()
+        if stage not in met and stage in history:
+            met.add(stage)
+            open_ += history[stage].inputs
+    return landed, [s for s in readers_first(history) if s in met]
+
+
 def trace_rows(history: History, seeds: DataFrame) -> DataFrame:
     """Every step of every seed (stage, ord): seed_stage, seed_ord, step, stage, ord, ends.
 
     `ends` says why a walk stopped there and is null on the rows it passed through.
     """
-    order = readers_first(history)
+    seeds, order = _seeded(history, seeds)
     arrivals: dict[str, list[DataFrame]] = {s: [] for s in order}
     for stage in order:
         arrivals[stage].append(seeds.where(F.col("stage") == stage).select(
-            F.col("stage").alias("seed_stage"), F.col("ord").cast("bigint").alias("seed_ord"),
-            F.lit(0).alias("step"), F.col("ord").cast("bigint").alias("ord")))
+            F.col("stage").alias("seed_stage"), F.col("ord").alias("seed_ord"),
+            F.lit(0).alias("step"), "ord"))
     passed: DataFrame | None = None
     for stage in order:
         spec, here = history[stage], _all(arrivals[stage])
-        here = land(here, "trace")
         walked, moved = _advance(history, stage, spec, here)
         passed = walked if passed is None else passed.unionByName(walked)
         for parent in dict.fromkeys(spec.inputs):
@@ -211,7 +226,8 @@ def _advance(history: History, stage: str, spec: Stage,
     direct = _direct(history, stage)
     if direct is not None:
         first = _followed(direct).where(F.col("_place") == 1).select("ord", "parent_stage", "parent_ord")
-        moved = here.join(first, "ord", "left")
+        # The joined stage is written once: its rows are both reported and walked on from.
+        moved = land(here.join(first, "ord", "left"), "trace")
         return shown(moved, F.when(F.col("parent_ord").isNull(), F.lit("summary"))), moved.where(
             F.col("parent_ord").isNotNull())
     if spec.positional:
@@ -227,15 +243,17 @@ def closure(history: History, seeds: DataFrame, cap: int | None = CLOSURE_CAP) -
     are not, unless they are reached as a branch too. More paged rows than `cap` are refused
     whole, never cut: pass None for no limit.
     """
-    order = readers_first(history)
+    seeds, order = _seeded(history, seeds)
     arrivals: dict[str, list[DataFrame]] = {s: [] for s in order}
     for stage in order:
         arrivals[stage].append(seeds.where(F.col("stage") == stage).select(
-            F.col("ord").cast("bigint").alias("ord"), F.lit(True).alias("paged")))
+            "ord", F.lit(True).alias("paged")))
     found: DataFrame | None = None
     for stage in order:
         spec = history[stage]
-        here = land(_all(arrivals[stage]).groupBy("ord").agg(F.bool_or("paged").alias("paged")), "closure")
+        here = _all(arrivals[stage]).groupBy("ord").agg(F.bool_or("paged").alias("paged"))
+        if spec.edges is not None and spec.kind != SOURCE:
+            here = land(here, "closure")
         kept = here.select(F.lit(stage).alias("stage"), "ord", "paged")
         found = kept if found is None else found.unionByName(kept)
         if spec.kind == SOURCE:

@@ -50,10 +50,13 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, max_values: int
     totals = counts.groupBy("column").agg(
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("null_count"),
         F.count("value").alias("distinct_count"))
-    place = F.row_number().over(W.partitionBy("column").orderBy(F.desc("count"), "value"))
-    shown = (counts.where(F.col("value").isNotNull()).withColumn("_n", place)
-             .where(F.col("_n") <= max_values).groupBy("column")
-             .agg(F.array_sort(F.collect_list(F.struct("_n", "value", "count"))).alias("_v"))
+    # The absent value is ranked last rather than filtered out, so that totals and shown values
+    # read one and the same grouping.
+    place = F.row_number().over(W.partitionBy("column").orderBy(
+        F.col("value").isNull(), F.desc("count"), "value"))
+    listed_value = F.when(F.col("value").isNotNull(), F.struct("_n", "value", "count"))
+    shown = (counts.withColumn("_n", place).where(F.col("_n") <= max_values).groupBy("column")
+             .agg(F.array_sort(F.collect_list(listed_value)).alias("_v"))
              .select("column", F.transform("_v", lambda v: F.struct(
                  v["value"].alias("value"), v["count"].alias("count"))).alias("values")))
     numbers = numeric_ranges(df, wanted, medians)

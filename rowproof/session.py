@@ -39,12 +39,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def session_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder, to be removed with the application."""
+    return f"{shared_folder(spark).rstrip('/')}/rowproof-{spark.sparkContext.applicationId}"
+
+
 def land(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back, which cuts its lineage.
 
     Unlike a cached frame the result survives the loss of any executor, and unlike an
     RDD checkpoint it stays columnar, so later readers still prune columns.
     """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{session_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

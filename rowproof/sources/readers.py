@@ -194,12 +194,16 @@ def _read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 def _with_origin(reads: Sequence[DataFrame], label: str, ordinals: bool) -> DataFrame:
     columns = [c for c in reads[0].columns if c != "_metadata"]
-    if label == "parquet" and len(reads) == 1:
-        only = reads[0].select(
+    if not ordinals:
+        # Nothing of the file metadata is touched, so scans stay as narrow as the query.
+        plain = reads[0].select(*[name(c) for c in columns])
+        for read in reads[1:]:
+            plain = plain.unionByName(read.select(*[name(c) for c in columns]))
+        return plain
+    if label == "parquet" and len(reads) == 1 and len(reads[0].inputFiles()) <= 1:
+        return reads[0].select(
             "*", F.col("_metadata.file_path").alias("_src_file"),
-            F.col("_metadata.row_index").alias("_src_row"))
-        if not ordinals or len(reads[0].inputFiles()) <= 1:
-            return only.withColumn(ORD, F.col("_src_row")) if ordinals else only
+            F.col("_metadata.row_index").alias("_src_row"), F.col("_metadata.row_index").alias(ORD))
     row = "_metadata.row_index" if label == "parquet" else None
     parts = []
     for position, read in enumerate(reads):
@@ -207,15 +211,13 @@ def _with_origin(reads: Sequence[DataFrame], label: str, ordinals: bool) -> Data
                   F.col("_metadata.file_path").alias("_src_file")]
         if row:
             origin.append(F.col(row).alias("_src_row"))
-        elif ordinals:
+        else:
             origin += [F.col("_metadata.file_block_start").alias("_split"),
                        F.monotonically_increasing_id().alias("_at")]
         parts.append(read.select(*[name(c) for c in columns], *origin))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    if not ordinals:
-        return whole.drop("_path_no")
     if row:
         # Counting rows per file reads footers alone.
         files = land(whole.groupBy("_path_no", "_src_file").agg(
@@ -237,6 +239,23 @@ def _with_origin(reads: Sequence[DataFrame], label: str, ordinals: bool) -> Data
             .select(*[name(c) for c in columns], "_src_file", "_src_row", ORD))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the files hold too few splits for them, before costly row work.
+
+    Only a table smaller than one split per core is moved, which bounds what the shuffle
+    carries; a larger one already has the splits, and is left where it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    held = spark.read.format("binaryFile").load(list(files)).agg(F.sum("length")).first()[0] or 0
+    text = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    split = int(text.rstrip("bB")) if text.rstrip("bB").isdigit() else 128 << 20
+    return df.repartition(cores) if held < cores * split else df
+
+
 # ── declared types ─────────────────────────────────────────────────────────
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowproof.ordinals import ORD, data_columns, number_kept, number_sorted
+from rowproof.session import land
 
 DIRECT, CONTRIBUTION = "direct", "contribution"
 
@@ -61,6 +62,10 @@ class Step:
                 self.landed.append(number_sorted(self.frame, self.order, ORD))
         return self.landed[0]
 
+    def stored(self) -> "Step":
+        """The same rows, numbered and written once to the shared folder."""
+        return Step(land(self.numbered(), "stage"), self.parents, "same", (), self.contributions, self.notes)
+
     def output(self) -> DataFrame:
         """Data columns and `_ord`: what the next step reads."""
         numbered = self.numbered()

@@ -58,7 +58,8 @@ def kept(df, text):
     ("s.str.isalpha()", [0, 2]), ("s.str.isalnum()", [0, 2, 3]), ("s.str.isspace()", [4]),
     ("s.str.islower()", [0, 3]), ("s.str.isupper()", []), ("s.str.istitle()", [2]),
     ("`Opening Text`.str.isascii()", [0, 2, 4]), ("`Opening Text`.str.istitle()", [0, 4]),
-    ("s == 3", []), ("s != 3", [0, 1, 2, 3, 4]), ("n == 's'", []),
+    ("n < f", [0, 3]), ("f > n", [0, 3]), ("f <= f", [0, 3, 4]), ("n != f", [0, 1, 2, 3, 4]),
+    ("NOT n < f", [1, 2, 4]), ("s == 3", []), ("s != 3", [0, 1, 2, 3, 4]), ("n == 's'", []),
 ])
 def test_rows_kept(df, text, expected):
     assert kept(df, text) == expected
