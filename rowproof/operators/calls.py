@@ -61,24 +61,26 @@ def check_call(df: DataFrame, template: str, adds: Table, reads: Sequence[str])
 
 
 def call_rows(df: DataFrame, caller: Caller, adds: Table, template: str, batch_size: int = 1,
-              max_retries: int = 2, reads: Sequence[str] | None = None, wait: float = 0.0) -> Step:
+              max_retries: int = 2, reads: Sequence[str] | None = None, wait: float = 0.0,
+              parallelism: int | None = None) -> Step:
     """Each row with the reply's columns, `_error` where its call failed, and `_usage`.
 
     Batches are runs of `batch_size` consecutive positions, so a retried task forms the same
     ones. A batched reply must answer exactly the items 0..n-1; one that does not is asked for
-    again and then fails its whole batch. Parallelism is the number of partitions. Write the
-    result before using it twice: a second evaluation calls again.
+    again and then fails its whole batch. `parallelism` is how many tasks call at once: all
+    cores by default for batches, the input's own partitions for single rows. Write the result
+    before using it twice: a second evaluation calls again.
     """
     if batch_size < 1:
         raise ContractError("batch_size is at least 1")
     read = list(reads) if reads is not None else data_columns(df)
     check_call(df, template, adds, read)
     prompts = df.withColumn("_prompt", render_template(df, template))
-    if batch_size > 1:
-        prompts = (prompts.withColumn("_group", F.expr(f"{ORD} div {batch_size}"))
-                   .repartition("_group").sortWithinPartitions("_group", ORD))
-    else:
-        prompts = prompts.withColumn("_group", F.col(ORD))
+    prompts = prompts.withColumn("_group", F.expr(f"{ORD} div {batch_size}"))
+    if batch_size > 1 or parallelism is not None:
+        # A stated number of partitions is not merged at run time, however small they are.
+        tasks = parallelism or df.sparkSession.sparkContext.defaultParallelism
+        prompts = prompts.repartition(tasks, "_group").sortWithinPartitions("_group", ORD)
     flags = T.StructType([T.StructField("_error", T.StringType()), T.StructField("_usage", _USAGE_TYPE)])
     schema = T.StructType(list(df.schema.fields) + list(adds.struct.fields) + list(flags.fields))
     added, kept = adds.names, list(df.columns)

@@ -225,6 +225,7 @@ def _advance(history: History, stage: str, spec: Stage,
         return shown(here, F.lit("origin")), None
     direct = _direct(history, stage)
     if direct is not None:
+        direct = direct.join(here.select("ord"), "ord", "left_semi")
         first = _followed(direct).where(F.col("_place") == 1).select("ord", "parent_stage", "parent_ord")
         # The joined stage is written once: its rows are both reported and walked on from.
         moved = land(here.join(first, "ord", "left"), "trace")

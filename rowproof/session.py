@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Adaptive execution splits hot join partitions at run time; forcing it keeps the split
 # even where the join's output partitioning would otherwise have been reused.
@@ -53,3 +54,17 @@ def land(df: DataFrame, label: str) -> DataFrame:
     path = f"{session_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# A lookup table of at most this many short rows is sent to every executor.
+LOOKUP_ROWS = 1_000_000
+
+
+def look_up(df: DataFrame, lookup: DataFrame, keys: list[str], most: int = LOOKUP_ROWS) -> DataFrame:
+    """`df` with the lookup's columns, without moving `df` while the lookup is small.
+
+    The lookup is written and counted first: the planner's own estimate of an aggregate is
+    that of the table under it, and would shuffle both sides. A longer one is joined normally.
+    """
+    landed = land(lookup, "lookup")
+    return df.join(F.broadcast(landed) if landed.count() <= most else landed, keys)

@@ -21,7 +21,7 @@ from rowproof.errors import ContractError
 from rowproof.functions.predicate import name
 from rowproof.ordinals import ORD, running_offsets
 from rowproof.schema import DATES, SCALARS, Table
-from rowproof.session import land
+from rowproof.session import land, look_up
 
 # File name endings and the format each one names.
 FORMATS = {
@@ -88,9 +88,9 @@ def read_parquet(spark: SparkSession, path: str, ordinals: bool = True) -> DataF
 
 
 def _same_columns(paths: Sequence[str], reads: Sequence[DataFrame]) -> None:
-    first = set(reads[0].columns)
+    first = set(reads[0].columns) - {"_metadata"}
     for path, read in zip(paths[1:], reads[1:]):
-        here = set(read.columns)
+        here = set(read.columns) - {"_metadata"}
         if here != first:
             raise ContractError(
                 f"{path.rsplit('/', 1)[-1]} does not carry the columns of "
@@ -110,9 +110,29 @@ def _read_one(spark: SparkSession, path: str, label: str, schema: Table | None,
     if label == "geojson":
         return _read_geojson(spark, path)
     separator = "\t" if label == "tsv" else delimiter or sniff_delimiter(spark, path)
-    encoding, multi_line = sniff_text(spark, path)
-    return (spark.read.option("header", True).option("sep", separator).option("escape", '"')
-            .option("multiLine", multi_line).option("encoding", encoding).csv(path))
+    western, multi_line = sniff_text(spark, path)
+    read = (spark.read.option("header", True).option("sep", separator).option("escape", '"')
+            .option("multiLine", multi_line).option("encoding", "iso-8859-1" if western else "UTF-8").csv(path))
+    return _from_windows_1252(read, path) if western else read
+
+
+# Spark decodes ISO-8859-1 but not windows-1252; the two differ in bytes 0x80 to 0x9F alone, which
+# are put right afterwards. Five of those bytes stand for no character.
+_C1 = [bytes([b]) for b in range(0x80, 0xA0)]
+_SHIFTED = {b.decode("latin-1"): b.decode("cp1252", "ignore") for b in _C1}
+_UNDEFINED = "".join(raw for raw, real in _SHIFTED.items() if not real)
+
+
+def _from_windows_1252(read: DataFrame, path: str) -> DataFrame:
+    raw = "".join(k for k, v in _SHIFTED.items() if v)
+    real = "".join(v for v in _SHIFTED.values() if v)
+    broken = F.lit(False)
+    for c in read.columns:
+        broken = broken | F.coalesce(name(c).rlike(f"[{_UNDEFINED}]"), F.lit(False))
+    if not read.where(broken).isEmpty():
+        raise ContractError(f"{path} is neither UTF-8 nor windows-1252")
+    return read.select("_metadata", *[
+        F.translate(name(c), raw, real).alias(c.translate(str.maketrans(raw, real))) for c in read.columns])
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
@@ -135,17 +155,17 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     raise ContractError(f"{path}: comma- and tab-separated content cannot be told apart")
 
 
-def sniff_text(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """Encoding, and whether a quoted cell spans lines, from one distributed pass.
+def sniff_text(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether a file is windows-1252, and whether a quoted cell spans lines: one distributed pass.
 
-    UTF-8 unless some line is not valid UTF-8, then windows-1252. Only a file with a line of
+    A file is UTF-8 unless some line is not valid UTF-8. Only a file with a line of
     unbalanced quotes is read as multi-line, since that mode cannot split a file.
     """
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
     found = spark.read.text(path).agg(
         F.coalesce(F.bool_or(~F.is_valid_utf8("value")), F.lit(False)),
         F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False))).first()
-    return "windows-1252" if found[0] else "UTF-8", bool(found[1])
+    return bool(found[0]), bool(found[1])
 
 
 def _read_json_lines(spark: SparkSession, path: str, schema: Table | None) -> DataFrame:
@@ -220,10 +240,9 @@ def _with_origin(reads: Sequence[DataFrame], label: str, ordinals: bool) -> Data
         whole = whole.unionByName(part)
     if row:
         # Counting rows per file reads footers alone.
-        files = land(whole.groupBy("_path_no", "_src_file").agg(
-            F.count(F.lit(1)).alias("_rows")), "files")
+        files = whole.groupBy("_path_no", "_src_file").agg(F.count(F.lit(1)).alias("_rows"))
         offsets = running_offsets(files, ["_path_no", "_src_file"], "_rows", "_before")
-        numbered = whole.join(offsets.drop("_rows"), ["_path_no", "_src_file"])
+        numbered = look_up(whole, offsets.drop("_rows"), ["_path_no", "_src_file"])
         return (numbered.withColumn(ORD, F.col("_before") + F.col("_src_row"))
                 .drop("_path_no", "_before"))
     landed = land(whole, "text")
@@ -232,7 +251,7 @@ def _with_origin(reads: Sequence[DataFrame], label: str, ordinals: bool) -> Data
     offsets = running_offsets(splits, ["_path_no", "_src_file", "_split"], "_rows", "_before")
     in_file = F.col("_before") - F.min("_before").over(W.partitionBy("_path_no", "_src_file"))
     offsets = offsets.withColumn("_file_before", in_file).drop("_rows")
-    numbered = landed.join(offsets, ["_path_no", "_src_file", "_split"])
+    numbered = look_up(landed, offsets, ["_path_no", "_src_file", "_split"])
     return (numbered.withColumn("_within", F.col("_at") - F.col("_start"))
             .withColumn(ORD, F.col("_before") + F.col("_within"))
             .withColumn("_src_row", F.col("_file_before") + F.col("_within"))
