@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.base import Query, table
+from catalogue.base import Query, scratch, table
 from rowproof.functions.text import render_text, row_fingerprint
 from rowproof.operators import (
     Agg, SortKey, aggregate, dedupe, enrich, expand, explode_rows, extend, filter_rows, narrow, replace,
@@ -12,8 +12,9 @@ from rowproof.ordinals import ORD, number_kept
 from rowproof.plans import StageDef, Workflow, preview, run_slice, slice_run
 from rowproof.provenance import (
     Stage, cell_diff, check_citations, closure, contributor_rows, contributors, field_diff, filter_diff,
-    multiset_cells, multiset_diff, row_diff, trace_rows)
-from rowproof.quality import check_counts, check_keys, profile, rollup_issues
+    multiset_cells, multiset_diff, publish_with, row_diff, trace_rows)
+from rowproof.quality import (
+    check_counts, check_keys, output_shape, profile, rollup_issues, stage_status, validate)
 from rowproof.quality.profile import profile_source
 from rowproof.quality.validate import issue_counts
 from rowproof.schema import Col, Table
@@ -111,6 +112,26 @@ def issue_totals(spark, folder):
     return issue_counts(_issues(spark, folder))
 
 
+@query("""WITH e AS (SELECT 's' || user_id AS stage, nullif(event_type, 'signup') AS kind, value FROM events)
+SELECT 'all' AS stage, count(*) AS rows, CASE WHEN count(*) FILTER (WHERE kind IS NULL OR value > 99.99) > 0 THEN 'error' ELSE 'ok' END AS status FROM e
+UNION ALL SELECT 'typed', count(*), 'validation_warnings' FROM e""")
+def stage_statuses(spark, folder):
+    """A full report per stage, and the status it gives the stage."""
+    events = replace(table(spark, folder, "events"), {"kind": "nullif(event_type, 'signup')", "value": "value"}).frame
+    strict = Table.of(Col("kind", "str", nullable=False), Col("value", "float", range=(0, 99.99)))
+    loose = Table.of(Col("kind", "str"))
+    reports = [validate(events.drop("_src_file", "_src_row"), s, label) for label, s in (("all", strict), ("typed", loose))]
+    return spark.createDataFrame([(r.stage, r.rows, stage_status(r)) for r in reports],
+                                 "stage string, rows bigint, status string")
+
+
+@query("""SELECT 'orders' AS stage, (SELECT count(*) FROM orders) AS rows, 6 AS columns UNION ALL
+SELECT 'lineitem', (SELECT count(*) FROM lineitem), 11 UNION ALL SELECT 'events', (SELECT count(*) FROM events), 6""")
+def output_shapes(spark, folder):
+    shapes = [(n, *output_shape(table(spark, folder, n))) for n in ("orders", "lineitem", "events")]
+    return spark.createDataFrame(shapes, "stage string, rows bigint, columns int")
+
+
 # ── profiles ──
 
 
@@ -346,6 +367,25 @@ def citation_checks(spark, folder):
     return check_citations(claims, {"totals": totals}).select("ord", "label", "status")
 
 
+@query(_FLOW + """SELECT segment, orders, place AS cited FROM
+(SELECT *, row_number() OVER (ORDER BY orders DESC, place) AS n FROM totals) WHERE n <= 5""")
+def published_with_citations(spark, folder):
+    """The five largest totals published by authored code, each figure citing its cell."""
+    _, history = _history(spark, folder)
+
+    def write(totals, output_dir, citations):
+        shown = totals.orderBy(F.desc("orders"), ORD).limit(5)
+        citations.cite(shown.select(
+            F.lit("totals").alias("stage"), F.col(ORD).alias("ord"), F.lit("orders").alias("column"),
+            F.col("orders").cast("string").alias("value"), F.col("segment").alias("label")))
+        shown.drop(ORD).write.json(output_dir)
+        return shown
+
+    made, said = publish_with(write, {"totals": history["totals"].table}, scratch(spark, "artifact"))
+    cited = said.where("status = 'ok'").select(F.col("ord").alias(ORD))
+    return made.join(cited, ORD).select("segment", "orders", F.col(ORD).alias("cited"))
+
+
 @query(_FLOW.replace("FROM orders LEFT", "FROM (SELECT * FROM orders WHERE o_orderstatus = 'F') LEFT")
        + "SELECT segment, o_orderpriority, orders, round(price, 2) AS price FROM totals")
 def workflow_slice(spark, folder):

@@ -8,11 +8,12 @@ from catalogue.base import Query, scratch, table
 from rowproof.functions.text import row_fingerprint
 from rowproof.operators import dedupe, enrich, extend, filter_rows, narrow, replace
 from rowproof.operators.calls import Reply, call_rows, usage_total
-from rowproof.operators.replay import KEY_VERSION, incremental_map, merge_cache
+from rowproof.operators.replay import KEY_VERSION, cached_table, incremental_map, merge_cache
 from rowproof.operators.review import Queue, departures, queue_stats, record_decisions, review
 from rowproof.ordinals import ORD
 from rowproof.quality import runs
-from rowproof.quality.scoring import Expect, check_counts, coverage, failed_rows, rollup, run_cases, score
+from rowproof.quality.scoring import (
+    Expect, check_counts, coverage, example_rows, failed_rows, rollup, run_cases, score, score_with)
 from rowproof.schema import Col, Table
 from rowproof.session import land
 from rowproof.sources import export_csv, publish, read_source, source_edges, spread, weigh_files, write_output
@@ -169,6 +170,20 @@ def cache_merged(spark, folder):
     return merge_cache(entries, stored, live).report
 
 
+@query("""SELECT o_orderpriority, count(*) AS orders, true AS replayed FROM orders GROUP BY 1""")
+def replay_whole_table(spark, folder):
+    """A table worked out once and then found again by what it was made from."""
+    root = scratch(spark, "tables")
+    orders = narrow(table(spark, folder, "orders"), ["o_orderkey", "o_orderpriority"])
+
+    def count():
+        return orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("orders"))
+
+    cached_table(spark, root, "counts", _STAGE_FP, [orders], count)
+    found, hit = cached_table(spark, root, "counts", _STAGE_FP, [orders], count)
+    return found.withColumn("replayed", F.lit(hit))
+
+
 # ── calls ──
 
 
@@ -259,6 +274,29 @@ def score_failed_rows(spark, folder):
     return failed_rows(_scored(spark, folder)).join(labels, ORD).select("doc_id")
 
 
+@query("""SELECT count(*) AS rows, round(avg(CASE WHEN (n_chars > 800) = (quality = 1) THEN 1.0 ELSE 0.0 END), 9) AS agreement
+FROM labels JOIN documents USING (doc_id)""")
+def scorer_code(spark, folder):
+    """An authored scorer over whole tables."""
+    def agreement(target, dataset):
+        same = F.avg(((F.col("n_chars") > 800) == (F.col("quality") == 1)).cast("int"))
+        return target.join(dataset, "doc_id").agg(F.count(F.lit(1)).alias("rows"), F.round(same, 9).alias("agreement"))
+    return score_with(agreement, table(spark, folder, "documents", ordinals=False).select("doc_id", "n_chars"),
+                      table(spark, folder, "labels", ordinals=False))
+
+
+@query("""SELECT o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'""")
+def example_selection(spark, folder):
+    """The rows examples are chosen from: the newest finished run's, narrowed to what is read."""
+    orders = table(spark, folder, "orders")
+    finished = orders.select(F.col("o_orderstatus").alias("run_id"), F.lit("orders").alias("stage_id"), F.when(
+        F.col("o_orderstatus") == "P", "error").otherwise("ok").alias("status")).distinct()
+    finished = finished.where("run_id <> 'O'")
+    outputs = {s: filter_rows(orders, f"o_orderstatus == '{s}'").frame for s in ("F", "O", "P")}
+    rows, _ = example_rows(outputs, finished, "orders", ["o_orderstatus", "o_totalprice"])
+    return rows.select("o_orderstatus", "o_totalprice")
+
+
 @query("""WITH r AS (SELECT source AS eval_name, lang AS run_id, count(*) AS rows_total, count(*) FILTER (WHERE quality = 1) AS rows_passed
 FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2),
 l AS (SELECT *, row_number() OVER (PARTITION BY eval_name ORDER BY run_id DESC) AS n FROM r)

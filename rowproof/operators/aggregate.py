@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from rowproof.errors import ContractError
 from rowproof.functions.predicate import condition, name, present_value
-from rowproof.ordinals import ORD
+from rowproof.ordinals import ORD, number_sorted
 from rowproof.schema import Col, Table
 from rowproof.step import CONTRIBUTION, Step, edge_rows
 
@@ -140,6 +140,32 @@ def aggregate(df: DataFrame, group_by: Sequence[str], ops: Sequence[Agg]) -> Ste
                 contributions=_contributions(df, group_by, ops))
 
 
+def list_rows(df: DataFrame, group_by: Sequence[str], op: Agg) -> DataFrame:
+    """What a `list` figure holds, as rows: the group keys, `position` from 0, and the value.
+
+    A list cell must fit in one row. This form has no such bound: rows are numbered in one
+    range-partitioned order over all groups, and each group's start is subtracted, so a group
+    holding most of the table is spread over tasks like any other rows.
+    """
+    _check(df, group_by, [op])
+    admitted = _admitted(df, op)
+    rows = df if admitted is None else df.where(admitted)
+    keys = [present_value(name(c), df.schema[c].dataType).alias(f"_k{i}") for i, c in enumerate(group_by)]
+    value = present_value(name(op.value), df.schema[op.value].dataType)  # type: ignore[arg-type]
+    listed = rows.select(*keys, value.alias(op.output), F.col(ORD).alias("_from"))
+    names = [f"_k{i}" for i in range(len(group_by))]
+    placed = number_sorted(listed, [*[F.col(k).asc_nulls_last() for k in names], F.col("_from").asc()])
+    shown = [F.col(k).alias(c) for k, c in zip(names, group_by)]
+    if not group_by:
+        return placed.select(F.col(ORD).alias("position"), op.output)
+    starts = placed.groupBy(*[F.col(k).alias(f"_s{k}") for k in names]).agg(F.min(ORD).alias("_start"))
+    test = F.col(names[0]).eqNullSafe(F.col(f"_s{names[0]}"))
+    for k in names[1:]:
+        test = test & F.col(k).eqNullSafe(F.col(f"_s{k}"))
+    return placed.join(starts, test).select(
+        *shown, (F.col(ORD) - F.col("_start")).alias("position"), op.output)
+
+
 def _contributions(df: DataFrame, group_by: Sequence[str], ops: Sequence[Agg]):
     """Each input row once, with the output columns it fed: keys looked up, nothing collected."""
     fed = F.array_compact(F.array(*[

@@ -1,7 +1,7 @@
 """Published values checked against the cells they cite."""
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +70,41 @@ def require_citations(claims: DataFrame, tables: Mapping[str, DataFrame]) -> Dat
     return checked
 
 
+class Citations:
+    """Handed to a publishing function: what it cites is checked as it is said, and kept."""
+
+    def __init__(self, tables: Mapping[str, DataFrame]) -> None:
+        self._tables = dict(tables)
+        self._said: list[DataFrame] = []
+
+    def cite(self, claims: DataFrame) -> DataFrame:
+        """Refuses unless every cited cell holds the value claimed for it."""
+        checked = require_citations(claims, self._tables)
+        self._said.append(checked.withColumn("claim", F.lit(len(self._said))))
+        return checked
+
+    def said(self) -> DataFrame | None:
+        """All claims made, in the order they were made."""
+        whole: DataFrame | None = None
+        for part in self._said:
+            whole = part if whole is None else whole.unionByName(part)
+        return whole
+
+
+def publish_with(fn: Callable[..., DataFrame], tables: Mapping[str, DataFrame],
+                 destination: str) -> tuple[DataFrame, DataFrame | None]:
+    """Run an authored publishing function over whole tables, in order.
+
+    `fn` takes the tables, `output_dir` to write artifacts under and `citations` to cite by; it
+    returns a table. What it cited comes back beside its result.
+    """
+    citations = Citations(tables)
+    made = fn(*tables.values(), output_dir=destination, citations=citations)
+    if not isinstance(made, DataFrame):
+        raise TypeError(f"a publishing function returned {type(made).__name__}, not a DataFrame")
+    return made, citations.said()
+
+
 def cited_rows(claims: DataFrame, order: str = "claim") -> DataFrame:
     """Each cited row once: rows cited for a value first, then rows cited whole, in claim order."""
     rank = F.struct(F.col("column").isNull().alias("whole"), F.col(order).alias("at"))
