@@ -253,28 +253,26 @@ def closure(history: History, seeds: DataFrame, cap: int | None = CLOSURE_CAP) -
     for stage in order:
         spec = history[stage]
         here = _all(arrivals[stage]).groupBy("ord").agg(F.bool_or("paged").alias("paged"))
-        if spec.edges is not None and spec.kind != SOURCE:
-            here = land(here, "closure")
         kept = here.select(F.lit(stage).alias("stage"), "ord", "paged")
         found = kept if found is None else found.unionByName(kept)
         if spec.kind == SOURCE:
             continue
-        reached: list[DataFrame] = []
+        reached: DataFrame | None = None
         if spec.edges is not None:
             mine = spec.edges.where((F.col("stage") == stage) & (F.col("parent_stage") != stage))
             mine = mine.join(here.select("ord"), "ord", "left_semi")
             direct = _followed(mine.where(F.col("kind") == DIRECT))
-            reached.append(direct.select("parent_stage", "parent_ord", (F.col("_place") > 1).alias("paged")))
-            reached.append(mine.where(F.col("kind") == CONTRIBUTION).select(
-                "parent_stage", "parent_ord", F.lit(True).alias("paged")))
+            # Written once, so that a stage's edges are joined once whatever number of inputs it has.
+            reached = land(direct.select("parent_stage", "parent_ord", (F.col("_place") > 1).alias("paged")).unionByName(
+                mine.where(F.col("kind") == CONTRIBUTION).select(
+                    "parent_stage", "parent_ord", F.lit(True).alias("paged"))), "closure")
         elif spec.positional:
-            reached.append(here.select(F.lit(spec.inputs[0]).alias("parent_stage"),
-                                       F.col("ord").alias("parent_ord"), F.lit(False).alias("paged")))
+            reached = here.select(F.lit(spec.inputs[0]).alias("parent_stage"),
+                                  F.col("ord").alias("parent_ord"), F.lit(False).alias("paged"))
         for parent in dict.fromkeys(spec.inputs):
-            for part in reached:
-                if parent in arrivals:
-                    arrivals[parent].append(part.where(F.col("parent_stage") == parent).select(
-                        F.col("parent_ord").alias("ord"), "paged"))
+            if reached is not None and parent in arrivals:
+                arrivals[parent].append(reached.where(F.col("parent_stage") == parent).select(
+                    F.col("parent_ord").alias("ord"), "paged"))
     assert found is not None
     if cap is not None:
         pages = found.where("paged").count()
