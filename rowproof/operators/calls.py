@@ -143,7 +143,7 @@ def _ask(caller: Caller, prompts: list[str], batched: bool, max_retries: int,
             return placed, None, _total(spent)
         correction = problem
     if batched and correction:
-        problem = f"batched reply invalid after {max_retries + 1} attempt(s): {problem}"
+        problem = f"no usable batch reply in {max_retries + 1} call(s): {problem}"
     return None, problem, _total(spent)
 
 
@@ -161,8 +161,8 @@ def rejoin(results: Sequence[Mapping[str, Any]], n: int) -> tuple[list[Mapping[s
             by_number[number] = result
     missing = [i for i in range(n) if i not in by_number]
     if missing or repeated or strange:
-        return None, (f"expected one result per item 0..{n - 1}; missing={missing}, "
-                      f"unknown={sorted(strange, key=str)}, duplicate={sorted(repeated)}")
+        return None, (f"items 0..{n - 1} are each answered once: unanswered {missing}, "
+                      f"answered again {sorted(repeated)}, not asked for {sorted(strange, key=str)}")
     return [by_number[i] for i in range(n)], ""
 
 

@@ -189,7 +189,7 @@ def test_failures_tag_rows(items):
     mended = call_rows(items, confused, ADDS, "{id}", batch_size=2, max_retries=1).frame
     assert mended.where("_error IS NOT NULL").count() == 0 and usage_total(mended).first().calls == 5
     broken = call_rows(items, confused, ADDS, "{id}", batch_size=2, max_retries=0).frame.where("_error IS NOT NULL")
-    assert broken.count() == 4 and "duplicate=[0]" in broken.first()["_error"]
+    assert broken.count() == 4 and "answered again [0]" in broken.first()["_error"]
 
     def slow(prompts, correction):
         raise TimeoutError("too slow")
