@@ -419,20 +419,20 @@ def operator_preview(spark, folder):
 def _changed(spark, folder):
     orders = narrow(table(spark, folder, "orders"), ["o_orderkey", "o_totalprice", "o_orderstatus"])
     changed = replace(orders, {
-        "o_orderkey": "o_orderkey", "o_totalprice": "CASE WHEN o_orderkey < 500 THEN o_totalprice + 1 ELSE o_totalprice END",
+        "o_orderkey": "o_orderkey", "o_totalprice": "CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END",
         "discounted": "o_totalprice > 100000"}).frame
     return orders, changed
 
 
 @query("""SELECT 'o_orderkey' AS "column", 'carried' AS state, CAST(0 AS BIGINT) AS changed_cells
-UNION ALL SELECT 'o_totalprice', 'carried', (SELECT count(*) FROM orders WHERE o_orderkey < 500)
+UNION ALL SELECT 'o_totalprice', 'carried', (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')
 UNION ALL SELECT 'o_orderstatus', 'dropped', 0 UNION ALL SELECT 'discounted', 'added', 0""")
 def column_diff(spark, folder):
     return row_diff(*_changed(spark, folder))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_totalprice AS VARCHAR) AS was,
-CAST(CASE WHEN o_orderkey < 500 THEN o_totalprice + 1 ELSE o_totalprice END AS VARCHAR) AS now, o_orderstatus, o_totalprice FROM orders)
+CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS VARCHAR) AS now, o_orderstatus, o_totalprice FROM orders)
 SELECT k AS ord, 'o_orderkey' AS "column", 'carried' AS state, CAST(k AS VARCHAR) AS was, CAST(k AS VARCHAR) AS now FROM o
 UNION ALL SELECT k, 'o_totalprice', CASE WHEN was = now THEN 'carried' ELSE 'changed' END, was, now FROM o
 UNION ALL SELECT k, 'o_orderstatus', 'dropped', o_orderstatus, NULL FROM o
@@ -442,7 +442,8 @@ def cell_differences(spark, folder):
 
 
 @query("""SELECT 'o_orderkey' AS "column", 'carried' AS state, '7' AS was, '7' AS now UNION ALL
-SELECT 'o_totalprice', 'changed', CAST(o_totalprice AS VARCHAR), CAST(o_totalprice + 1 AS VARCHAR) FROM orders WHERE o_orderkey = 7 UNION ALL
+SELECT 'o_totalprice', CASE WHEN o_orderstatus = 'F' THEN 'changed' ELSE 'carried' END, CAST(o_totalprice AS VARCHAR),
+CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS VARCHAR) FROM orders WHERE o_orderkey = 7 UNION ALL
 SELECT 'o_orderstatus', 'dropped', o_orderstatus, NULL FROM orders WHERE o_orderkey = 7 UNION ALL
 SELECT 'discounted', 'added', NULL, CASE WHEN o_totalprice > 100000 THEN 'True' ELSE 'False' END FROM orders WHERE o_orderkey = 7""")
 def one_row_diff(spark, folder):

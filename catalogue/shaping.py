@@ -66,13 +66,13 @@ WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority,
 SELECT * FROM o
 WHERE coalesce(o_orderstatus <> 'F', true)
   AND (o_totalprice > 100000 OR o_orderpriority = '1-URGENT')
-  AND NOT (o_totalprice >= 450000) AND 10 <= o_custkey AND o_custkey < 140000""")
+  AND NOT (o_totalprice >= 450000) AND 2000 <= o_totalprice AND o_totalprice < 440000""")
 def filter_predicate(spark, folder):
     orders = narrow(table(spark, folder, "orders"),
                     ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus"])
     holed = extend(orders, rewrites={"o_orderstatus": "nullif(o_orderstatus, 'P')"}).frame
     return filter_rows(holed, "o_orderstatus != 'F' AND (o_totalprice > 100000 OR o_orderpriority == "
-                              "'1-URGENT') AND NOT o_totalprice >= 450000 AND 10 <= o_custkey < 140000").rows
+                              "'1-URGENT') AND NOT o_totalprice >= 450000 AND 2000 <= o_totalprice < 440000").rows
 
 
 @query("""
