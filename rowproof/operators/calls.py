@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rowproof.errors import ContractError
 from rowproof.functions.predicate import name
@@ -84,33 +85,50 @@ def call_rows(df: DataFrame, caller: Caller, adds: Table, template: str, batch_s
     flags = T.StructType([T.StructField("_error", T.StringType()), T.StructField("_usage", _USAGE_TYPE)])
     schema = T.StructType(list(df.schema.fields) + list(adds.struct.fields) + list(flags.fields))
     added, kept = adds.names, list(df.columns)
-
-    def answer(batch: pd.DataFrame) -> pd.DataFrame:
-        results, error, usage = _ask(caller, list(batch["_prompt"]), batch_size > 1, max_retries, wait)
-        out = batch[kept].copy()
-        for column in added:
-            out[column] = pd.Series([r.get(column) for r in results] if results else [None] * len(batch),
-                                    index=batch.index, dtype=object)
-        out["_error"] = pd.Series([error] * len(batch), index=batch.index, dtype=object)
-        nothing = {"input_tokens": 0, "output_tokens": 0, "calls": 0, "cost_usd": 0.0, "model": None}
-        out["_usage"] = pd.Series([usage] + [nothing] * (len(batch) - 1), index=batch.index, dtype=object)
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = to_arrow_schema(T.StructType(list(adds.struct.fields) + list(flags.fields)))
+    nothing = {"input_tokens": 0, "output_tokens": 0, "calls": 0, "cost_usd": 0.0, "model": None}
+
+    def answer(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole groups in, the same rows with their replies out; other columns pass untouched."""
+        groups = rows.column("_group").to_pylist()
+        prompts_ = rows.column("_prompt").to_pylist()
+        made: dict[str, list[Any]] = {f.name: [] for f in types}
+        start = 0
+        while start < len(groups):
+            end = start + 1
+            while end < len(groups) and groups[end] == groups[start]:
+                end += 1
+            results, error, usage = _ask(caller, prompts_[start:end], batch_size > 1, max_retries, wait)
+            for i in range(end - start):
+                for column in added:
+                    made[column].append(results[i].get(column) if results else None)
+                made["_error"].append(error)
+                made["_usage"].append(nothing if i else usage)
+            start = end
+        out = rows.select(kept)
+        for f in types:
+            out = out.append_column(f, pa.array(made[f.name], type=f.type))
+        yield from out.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A group may straddle two Arrow batches, so the last one is held back until it is whole.
-        held: pd.DataFrame | None = None
+        held: pa.Table | None = None
         for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            groups = held["_group"]
-            last = groups.iloc[-1] if len(held) else None
-            whole, held = held[groups != last], held[groups == last].reset_index(drop=True)
-            for _, part in whole.groupby("_group", sort=False):
-                yield answer(part)
-        if held is not None and len(held):
-            for _, part in held.groupby("_group", sort=False):
-                yield answer(part)
-
-    called = prompts.mapInPandas(run, schema)
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            groups = rows.column("_group").to_pylist()
+            cut = len(groups)
+            while cut and groups[cut - 1] == groups[-1]:
+                cut -= 1
+            held = rows.slice(cut)
+            if cut:
+                yield from answer(rows.slice(0, cut))
+        if held is not None and held.num_rows:
+            yield from answer(held)
+
+    called = prompts.mapInArrow(run, schema)
     order = [*data_columns(df), *added, *[c for c in df.columns if c.startswith("_")], "_error", "_usage"]
     return Step(called.select(*[name(c) for c in order]), (ORD,))
 

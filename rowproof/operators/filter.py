@@ -5,11 +5,12 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowproof.functions.predicate import condition, name
+from rowproof.operators.project import python_rows
 from rowproof.ordinals import ORD, data_columns
 from rowproof.step import Step
 
@@ -35,16 +36,15 @@ def filter_rows(df: DataFrame, keep: str | Column | Callable[[dict[str, Any]], b
 def _kept_by_code(df: DataFrame, keep: Callable[[dict[str, Any]], bool]) -> DataFrame:
     read = data_columns(df)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch[read].astype(object).where(batch[read].notna(), None).to_dict("records")
-            verdicts = [keep(row) for row in rows]
+            verdicts = [keep(row) for row in python_rows(batch, read)]
             wrong = next((v for v in verdicts if not isinstance(v, bool)), None)
             if wrong is not None:
                 raise TypeError(f"a row test returned {type(wrong).__name__}, not a bool")
-            yield batch[pd.Series(verdicts, index=batch.index, dtype=bool)]
+            yield batch.filter(pa.array(verdicts, type=pa.bool_()))
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 @dataclass(frozen=True)

@@ -4,10 +4,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rowproof.errors import ContractError, StepRefused
 from rowproof.functions.predicate import absent, condition, name
@@ -51,6 +52,17 @@ def narrow(df: DataFrame, reads: Sequence[str]) -> DataFrame:
     return df.select(*[name(c) for c in reads], *[name(c) for c in df.columns if c.startswith("_")])
 
 
+def python_rows(batch: pa.RecordBatch, columns: Sequence[str]) -> list[dict[str, Any]]:
+    """Rows as dicts of plain values: integers stay integers, and NaN reads as absent."""
+    reals = [c for c in columns if pa.types.is_floating(batch.schema.field(c).type)]
+    rows = batch.select(list(columns)).to_pylist()
+    for row in rows:
+        for c in reals:
+            if row[c] is not None and row[c] != row[c]:
+                row[c] = None
+    return rows
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict[str, Any]], Mapping[str, Any]],
              writes: Table, reads: Sequence[str] | None = None) -> Step:
     """Authored row code: a dict in, a dict out, for what no column expression states.
@@ -62,21 +74,21 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, Any]], Mapping[str, Any]],
     kept = [f for f in df.schema.fields if f.name not in taken]
     schema = T.StructType(kept + list(writes.struct.fields))
     read = list(reads) if reads is not None else data_columns(df)
+    types = to_arrow_schema(writes.struct)
+    carried = [f.name for f in kept]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch[read].astype(object).where(batch[read].notna(), None).to_dict("records")
-            written = [fn(row) for row in rows]
+            written = [fn(row) for row in python_rows(batch, read)]
             wrong = next((w for w in written if not isinstance(w, Mapping)), None)
             if wrong is not None:
                 raise TypeError(f"a row function returned {type(wrong).__name__}, not a mapping")
-            out = batch[[f.name for f in kept]].copy()
-            for column in taken:
-                out[column] = pd.Series([w.get(column) for w in written],
-                                        index=batch.index, dtype=object)
-            yield out
+            # Columns the function did not write pass through as they are, never by way of Python.
+            cells = [batch.column(c) for c in carried]
+            cells += [pa.array([w.get(f.name) for w in written], type=f.type) for f in types]
+            yield pa.RecordBatch.from_arrays(cells, names=[*carried, *taken])
 
-    mapped = df.mapInPandas(run, schema)
+    mapped = df.mapInArrow(run, schema)
     order = [c for c in df.columns if not c.startswith("_")]
     order += [c for c in taken if c not in df.columns]
     hidden = [c for c in df.columns if c.startswith("_")]

@@ -167,6 +167,17 @@ def test_row_code(numbered):
         map_frames(lambda a: 3, df)
 
 
+def test_row_code_sees_plain_values_and_spoils_none(numbered):
+    big = 2 ** 60 + 1
+    df = numbered([(big, 1.5, ["a"]), (None, float("nan"), None)], "n bigint, f double, l array<string>")
+    seen = map_rows(df, lambda row: {"said": repr((row["n"], row["f"], row["l"]))}, Table.of(Col("said", "str")))
+    got = seen.frame.orderBy("_ord").collect()
+    assert [r.said for r in got] == [f"({big}, 1.5, ['a'])", "(None, None, None)"]
+    assert [r.n for r in got] == [big, None]
+    kept = filter_rows(df, lambda row: row["n"] == big)
+    assert kept.rows.first().n == big and kept.rows.count() == 1
+
+
 def test_refusal(numbered):
     df = numbered([("5", 1), ("-2", 2)], "money string, k bigint")
     refused = refuse_where(df, F.col("money").cast("int") < 0, F.concat(F.lit("negative: "), "money"), "money")

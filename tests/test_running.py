@@ -160,6 +160,14 @@ def test_calls_row_by_row_and_in_batches(items):
         assert (total.calls, total.input_tokens, total.cost_usd, total.model) == (calls, 3 * calls, 0.5 * calls, "m1")
 
 
+def test_calls_carry_other_columns_untouched(numbered):
+    big = 2 ** 60 + 1
+    df = numbered([("a", big, [1]), ("b", None, None)], "t string, n bigint, l array<int>")
+    for size in (1, 2):
+        got = {r.t: (r.n, r.l, r.answer) for r in call_rows(df, _answer, ADDS, "{t}", batch_size=size).rows.collect()}
+        assert got == {"a": (big, [1], "A"), "b": (None, None, "B")}
+
+
 def test_batches_cross_arrow_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
