@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowproof.errors import CardinalityError, ContractError
+from rowproof.errors import CardinalityError, ContractError, GrainError
 from rowproof.functions.predicate import absent, name, present_value
 from rowproof.functions.text import cell_text
 from rowproof.ordinals import ORD
@@ -232,7 +232,6 @@ def coverage_warnings(coverage: DataFrame, subject: str, reference: str) -> list
 
 def align(left: DataFrame, right: DataFrame) -> DataFrame:
     """Row i of one table beside row i of the other; both must have the same number of rows."""
-    from rowproof.errors import GrainError
     a, b = left.count(), right.count()
     if a != b:
         raise GrainError(f"{a} row(s) cannot be aligned with {b}")

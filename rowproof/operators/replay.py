@@ -1,6 +1,7 @@
 """Content-addressed replay: work done once per (definition, row content) is not done again."""
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -93,7 +94,7 @@ def table_fingerprint(df: DataFrame) -> str:
     def half(start: int):
         return F.sum(F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(38,0)"))
 
-    total = df.select(*df.columns).agg(F.count(F.lit(1)).alias("n"), half(1).alias("a"), half(16).alias("b"))
+    total = df.agg(F.count(F.lit(1)).alias("n"), half(1).alias("a"), half(16).alias("b"))
     text = F.concat_ws("|", F.lit(",".join(columns)), F.col("n").cast("string"),
                        F.coalesce(F.col("a").cast("string"), F.lit("0")),
                        F.coalesce(F.col("b").cast("string"), F.lit("0")))
@@ -102,7 +103,6 @@ def table_fingerprint(df: DataFrame) -> str:
 
 def tables_fingerprint(*tables: DataFrame) -> str:
     """Order matters: the two sides of a join swapped are another input."""
-    import hashlib
     return hashlib.sha1("|".join(table_fingerprint(t) for t in tables).encode()).hexdigest()[:16]
 
 

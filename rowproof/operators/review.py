@@ -126,7 +126,6 @@ def review(df: DataFrame, queue: Queue, decisions: DataFrame | None = None,
     named = df.withColumn("row_fp", row_fingerprint(df, queue.read(df)))
     if auto_approve:
         settled = named.withColumns({"_state": F.lit(APPROVE), "_d": F.lit(None)})
-        decided = None
     else:
         selected = mask(queue.filter, df) if queue.filter else F.lit(True)
         if decisions is None:
@@ -141,10 +140,8 @@ def review(df: DataFrame, queue: Queue, decisions: DataFrame | None = None,
     was_decided = F.col("_state") == "decided"
 
     def added(target: str, recorded: str, otherwise: Column, dtype: T.DataType) -> Column:
-        value = F.when(was_decided, F.col("_d")[recorded]) if from_decision else F.lit(None)
-        if from_decision:
-            return F.when(was_decided, F.col("_d")[recorded]).otherwise(otherwise).cast(dtype).alias(target)
-        return F.coalesce(value, otherwise).cast(dtype).alias(target)
+        value = F.when(was_decided, F.col("_d")[recorded]).otherwise(otherwise) if from_decision else otherwise
+        return value.cast(dtype).alias(target)
 
     text = T.StringType()
     nothing = F.lit(None).cast("string")

@@ -63,8 +63,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, max_values: int
     empty = F.array().cast("array<struct<value:string,count:bigint>>")
     held = F.coalesce("null_count", F.lit(0).cast("bigint"))
     # The column list leads, so that an empty table still has its columns profiled.
-    listed = numbers
-    return (listed.join(totals, "column", "left").join(shown, "column", "left")
+    return (numbers.join(totals, "column", "left").join(shown, "column", "left")
             .select("column", held.alias("null_count"),
                     F.coalesce("distinct_count", F.lit(0).cast("bigint")).alias("distinct_count"),
                     F.coalesce("values", empty).alias("values"),
