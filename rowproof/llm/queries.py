@@ -4,20 +4,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowproof.llm import lines, mixing, neardup, pieces, toxicity
+from rowproof.llm import fingerprint, lines, mixing, neardup, passages, pieces, topk, toxicity, warc
 from rowproof.llm.base import table
+from rowproof.session import land
+
+
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    parts = land(warc.write_bundles(table(spark, folder, "pages")), "bundles")
+    return warc.read_bundles(parts).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_classes(table(spark, folder, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, folder, "documents"))
+
+
+def op5_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     placed = mixing.mixed_order(table(spark, folder, "documents").select("doc_id", "source"))
     return placed.select("doc_id", "source", F.col("__block").alias("block"), F.col("__slot").alias("slot"),
                          F.col("__release").alias("release_slot"), F.col("__due").alias("due_slot"))
 
 
+def op7_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.passages(table(spark, folder, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -31,5 +49,5 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", encoded.alias("e")).select("doc_id", "e.ids", "e.n_tokens", "e.round_trip")
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op6_mixing, op8_toxicity, op9_near_duplicates, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_line_dedup, op4_fingerprints, op5_top_k, op6_mixing, op7_passages, op8_toxicity, op9_near_duplicates, op10_sentencepiece)}
 SQL: dict[str, str] = {}
