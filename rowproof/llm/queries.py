@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowproof.llm import fingerprint, lines, mixing, neardup, passages, pieces, topk, toxicity, warc
+from rowproof.llm import fingerprint, language, lines, mixing, neardup, passages, pieces, topk, toxicity, warc
 from rowproof.llm.base import table
 from rowproof.session import land
 
@@ -14,6 +14,10 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_bundles(parts).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.score(table(spark, folder, "documents"), language.held_out_fifth())
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_classes(table(spark, folder, "documents"))
 
@@ -49,5 +53,5 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", encoded.alias("e")).select("doc_id", "e.ids", "e.n_tokens", "e.round_trip")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_line_dedup, op4_fingerprints, op5_top_k, op6_mixing, op7_passages, op8_toxicity, op9_near_duplicates, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_language, op3_line_dedup, op4_fingerprints, op5_top_k, op6_mixing, op7_passages, op8_toxicity, op9_near_duplicates, op10_sentencepiece)}
 SQL: dict[str, str] = {}
