@@ -105,7 +105,7 @@ def within_edits(edits: int) -> Column:
     return F.expr(bound(common("left", "xline", "yline"), "h", rest))
 
 
-def line_links(docs: DataFrame, edits: int = 1, least_chars: int = 16) -> DataFrame:
+def line_links(docs: DataFrame, edits: int = 2, least_chars: int = 16) -> DataFrame:
     """Pairs (x, y) of ids of different lines within `edits` edits; x < y."""
     distinct = lines_of(docs).where(F.length("line") >= least_chars).groupBy("line").agg(F.count("*").alias("n"))
     rows = segment_rows(distinct.select("line", F.xxhash64("line").alias("id")), edits)
@@ -129,7 +129,7 @@ def line_links(docs: DataFrame, edits: int = 1, least_chars: int = 16) -> DataFr
     return both.where(within_edits(edits)).select("x", "y").distinct()
 
 
-def line_classes(docs: DataFrame, edits: int = 1, least_chars: int = 16) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = 2, least_chars: int = 16) -> DataFrame:
     """(doc_id, line_no, class_doc, class_line, copies, links, kept) of every line that is not blank.
 
     copies: lines equal to it, itself included; links: different lines near it; kept: it is the
@@ -150,7 +150,7 @@ def line_classes(docs: DataFrame, edits: int = 1, least_chars: int = 16) -> Data
         (F.struct("doc_id", "line_no") == F.col("head")).alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = 1, least_chars: int = 16) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, edits: int = 2, least_chars: int = 16) -> DataFrame:
     """`docs` without the lines whose class began earlier; n_chars follows the text.
 
     Documents that lose every line that was not blank are repeats as a whole and go too.

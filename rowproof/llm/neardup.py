@@ -8,7 +8,7 @@ in minima. A pair at similarity s meets in some table with chance (1 - (1 - s^2)
 m = 14 and s = 0.75 is 0.99998. A meeting is only a candidate: a link is confirmed on the full sets.
 
 How hot tables are kept linear: equal sets are one node from the start. In every bucket each node
-is first compared with one drawn node of its bucket only, in a few turns with other draws. Two nodes
+is first compared with two drawn nodes of its bucket only, in a few turns with other draws. Two nodes
 that are connected by then need no comparison; every other pair of a bucket is compared after that,
 so no component that the tables can find is lost.
 
@@ -170,9 +170,13 @@ def linked_nodes(nodes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
         several = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         rest = land(rest.join(several.select("key"), "key").join(nodes.select("node", "n", "bits"), "node"), "rest")
         if turn < s.center_rounds:
-            # One of each bucket's nodes, another every turn, against all of it.
-            drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "label"))
-            right = rest.groupBy("key").agg(drawn.alias("e")).select("key", "e.node", "e.n", "e.label")
+            # Two of each bucket's nodes, others every turn, against all of it.
+            drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "label")
+            ends = rest.groupBy("key").agg(F.min(drawn).alias("first"), F.max(drawn).alias("last"))
+            right = None
+            for end in ("first", "last"):
+                side = ends.select("key", f"{end}.node", f"{end}.n", f"{end}.label")
+                right = side if right is None else right.union(side)
             left, right = (side.select("key", *(F.col(c).alias(name + c) for c in ("node", "n", "label")))
                            for name, side in (("x", rest), ("y", right)))
             pairs = (left.join(right, "key").where("xlabel <> ylabel").where(alike_sizes(s))
