@@ -8,7 +8,7 @@ in minima. A pair at similarity s meets in some table with chance (1 - (1 - s^2)
 m = 14 and s = 0.75 is 0.99998. A meeting is only a candidate: a link is confirmed on the full sets.
 
 How hot tables are kept linear: equal sets are one node from the start. In every bucket each node
-is first compared with two drawn nodes of its bucket only, in a few turns with other draws. Two nodes
+is first compared with one drawn node of its bucket only, in a few turns with other draws. Two nodes
 that are connected by then need no comparison; every other pair of a bucket is compared after that,
 so no component that the tables can find is lost.
 
@@ -113,13 +113,17 @@ def alike_sizes(s: Settings) -> Column:
     return 100 * F.least("xn", "yn") >= s.share * F.greatest("xn", "yn")
 
 
-def across(rest: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (x, y) within a bucket and across components that sizes and bitmaps do not rule out.
+def across(left_over: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (x, y) with a half key in common, across components, that sizes and bitmaps do not rule out.
+
+    Nodes of one bucket share its A half, so every pair of a bucket is among them, fewer times over.
 
     Of the bits set in one bitmap alone each proves a shingle in one set alone. Large buckets are
     cut into chunks and every pair of chunks is a group of its own, so a group is of bounded size.
     """
-    chunks = rest.groupBy("key").agg(F.ceil(F.count("*") / s.chunk).cast("int").alias("chunks"))
+    rest = left_over.select("node", "n", "label", "bits", F.posexplode("a").alias("i", "half")).withColumn("key", F.xxhash64("i", "half"))
+    chunks = (rest.groupBy("key").agg(F.ceil(F.count("*") / s.chunk).cast("int").alias("chunks"), F.count("*").alias("rows"))
+              .where(F.col("rows") > 1).drop("rows"))
     dealt = rest.join(chunks, "key").withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     groups = copies.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own",
@@ -168,21 +172,18 @@ def linked_nodes(nodes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
         # Buckets that still hold several components.
         rest = met.join(labels, "node")
         several = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        rest = land(rest.join(several.select("key"), "key").join(nodes.select("node", "n", "bits"), "node"), "rest")
+        rest = land(rest.join(several.select("key"), "key").join(nodes.select("node", "n"), "node"), "rest")
         if turn < s.center_rounds:
-            # Two of each bucket's nodes, others every turn, against all of it.
-            drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "label")
-            ends = rest.groupBy("key").agg(F.min(drawn).alias("first"), F.max(drawn).alias("last"))
-            right = None
-            for end in ("first", "last"):
-                side = ends.select("key", f"{end}.node", f"{end}.n", f"{end}.label")
-                right = side if right is None else right.union(side)
+            # One of each bucket's nodes, another every turn, against all of it.
+            drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "label"))
+            right = rest.groupBy("key").agg(drawn.alias("e")).select("key", "e.node", "e.n", "e.label")
             left, right = (side.select("key", *(F.col(c).alias(name + c) for c in ("node", "n", "label")))
                            for name, side in (("x", rest), ("y", right)))
             pairs = (left.join(right, "key").where("xlabel <> ylabel").where(alike_sizes(s))
                      .select(F.least("xnode", "ynode").alias("x"), F.greatest("xnode", "ynode").alias("y")).distinct())
         else:
-            pairs = across(rest, s)
+            left_over = rest.select("node", "n", "label").distinct().join(nodes.select("node", "a", "bits"), "node")
+            pairs = across(left_over, s)
         if compared is not None:
             pairs = pairs.join(compared, ["x", "y"], "left_anti")
         pairs = land(pairs, "pairs")
