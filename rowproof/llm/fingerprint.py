@@ -2,7 +2,7 @@
 
 A text falls into sections at blank lines, a section into paragraphs at newlines, a paragraph into
 sentences, each with the blanks that follow it, so no byte of the text is left out. A sentence
-longer than eight words is cut there. Leaves are hashes of sentences; every node above hashes its
+longer than sixteen words is cut there. Leaves are hashes of sentences; every node above hashes its
 children's hashes and their number; the root tests equality. The fingerprint is the root's hash and,
 level by level, its leaves: sections split by '/', paragraphs by '.', four characters a sentence.
 
@@ -31,7 +31,7 @@ from rowproof.session import land
 # A sentence ends after a full stop, a question or an exclamation mark and the blanks after it.
 SENTENCE = re.compile(r"[^.!?]*[.!?]+[ \t]+|[^.!?]+\Z|[^.!?]*[.!?]+", re.S)
 LEAF_BYTES = 3
-WORDS = 8
+WORDS = 16
 
 
 def node(children: list[bytes]) -> bytes:
