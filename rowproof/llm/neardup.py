@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowproof.llm.base import fixed_lists, gram_hashes, list_array, mixed, numbers, whole_groups, word_hashes
+from rowproof.llm.base import checked_broadcast, fixed_lists, gram_hashes, list_array, mixed, numbers, whole_groups, word_hashes
 from rowproof.llm.graph import components
 from rowproof.session import land
 
@@ -166,13 +166,14 @@ def linked_nodes(nodes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
         F.xxhash64("i", "j", "left", "right").alias("key"), "node")
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     met = land(keys.join(shared.select("key"), "key"), "met")
-    labels = met.select("node", F.col("node").alias("label")).distinct()
+    labels = met.select("node").distinct().join(nodes.select("node", "n").dropDuplicates(["node"]), "node").withColumn("label", F.col("node"))
     compared = None
     for turn in range(s.center_rounds + 1):
-        # Buckets that still hold several components.
-        rest = met.join(labels, "node")
-        several = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        rest = land(rest.join(several.select("key"), "key").join(nodes.select("node", "n"), "node"), "rest")
+        rest = met.join(checked_broadcast(labels), "node")
+        if turn:
+            # Buckets that still hold several components.
+            several = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+            rest = land(rest.join(several.select("key"), "key"), "rest")
         if turn < s.center_rounds:
             # One of each bucket's nodes, another every turn, against all of it.
             drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "label"))
@@ -190,7 +191,7 @@ def linked_nodes(nodes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
         compared = pairs if compared is None else compared.union(pairs)
         known = labels.select(F.col("node").alias("x"), F.col("label").alias("y"))
         found = components(known.union(confirmed(pairs, texts, s)))
-        labels = land(labels.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")),
+        labels = land(labels.select("node", "n").join(found, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label")),
                       "labels")
     return labels
 
