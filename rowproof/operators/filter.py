@@ -63,8 +63,7 @@ def search_rows(df: DataFrame, text: str, limit: int = SEARCH_LIMIT) -> Matches:
 
 
 def first_matches(df: DataFrame, text: str, limit: int = SEARCH_LIMIT) -> DataFrame:
-    shown = max(1, min(limit, SEARCH_LIMIT))
-    return df.where(condition(text, df)).orderBy(ORD).limit(shown)
+    return df.where(condition(text, df)).orderBy(ORD).limit(max(1, limit))
 
 
 def window(df: DataFrame, offset: int = 0, limit: int | None = None) -> Step:

@@ -121,3 +121,11 @@ def test_medians_are_exact_whatever_the_bracket(spark, small):
     assert exact_medians(df, ["a", "b", "c"], small) == want
     even = spark.createDataFrame([(1.0,), (2.0,), (5.0,), (7.0,)], "x double")
     assert exact_medians(even, ["x"], small) == {"x": 3.5}
+
+
+def test_row_errors_beyond_the_listed_ones_are_counted(spark):
+    from rowproof.quality.validate import SAMPLE, Report, merge_row_errors
+    df = spark.createDataFrame([(f"e{i:02}",) for i in range(30)] + [("e00",), (None,)], "_error string")
+    merged = merge_row_errors(Report("s", "p", 32, []), df)
+    assert len(merged.issues) == SAMPLE + 1
+    assert f"{30 - SAMPLE} further message(s) on {30 - SAMPLE} row(s)" in str(merged.issues[-1])
