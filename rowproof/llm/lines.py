@@ -9,8 +9,8 @@ by its segments and probes, for its own length and the shorter ones in reach, th
 could be another line's segment (the start may move by as many edits as fit on either side). Lines
 that meet are compared by a bit-parallel automaton over the diagonals of the band, once their common
 ends are cut off. Equal lines are one from the first grouping on, so a line that fills the corpus is
-indexed once. Parities of word hashes, of which an edit turns at most three, keep lines that share a
-segment by template from being paired.
+indexed once. Parities of hashed words and letter pairs, of which an edit turns few, keep lines that
+share a segment by template from being paired.
 
 Classes are the connected groups of linked lines; the class is named by its first line, in order of
 document and position. A null text has no lines. Rows with a null doc_id are left alone. Where rows
@@ -43,19 +43,22 @@ def segment_key(line: Column, length: Column, k: int, segments: int, shift: int)
 
 
 def segment_rows(distinct: DataFrame, edits: int) -> DataFrame:
-    """(key, id, probe): a line's segments, and the substrings with which it looks for shorter or equal lines."""
+    """(key, id, indexed): a line's segments, by which it is found and looks for lines of its length, and the
+    other substrings with which it looks for lines of its length or shorter ones."""
     n, line, segments = F.length("line"), F.col("line"), edits + 1
-    rows = [F.struct(segment_key(line, n, k, segments, 0).alias("key"), F.lit(False).alias("probe")) for k in range(segments)]
+    rows = [F.struct(segment_key(line, n, k, segments, 0).alias("key"), F.lit(True).alias("indexed")) for k in range(segments)]
     for less in range(edits + 1):
         for k in range(segments):
             # Edits before the segment move it by k at most, those after it by what is left.
             for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
-                rows.append(F.struct(segment_key(line, n - less, k, segments, shift).alias("key"), F.lit(True).alias("probe")))
-    return distinct.select("id", F.explode(F.array(*rows)).alias("row")).select("row.key", "id", "row.probe")
+                if less or shift:
+                    rows.append(F.struct(segment_key(line, n - less, k, segments, shift).alias("key"), F.lit(False).alias("indexed")))
+    return distinct.select("id", F.explode(F.array(*rows)).alias("row")).select("row.key", "id", "row.indexed")
 
 
-# Bit h % 64 is turned for every word of hash h.
-WORD_PARITY = "aggregate(split(line, ' '), 0L, (a, w) -> a ^ shiftleft(1L, cast(pmod(hash(w), 64) as int)))"
+def parity(parts: str, shift: int = 0) -> str:
+    """SQL for 64 parities: one bit, named by the hash from bit `shift` on, is turned for every element."""
+    return f"aggregate({parts}, 0L, (a, w) -> a ^ shiftleft(1L, shiftright(hash(w), {shift}) & 63))"
 
 
 STEPS = ", ".join(str(1 << b) for b in range(26, -1, -1))
@@ -66,6 +69,13 @@ def bound(value: str, name: str, result: str) -> str:
     return f"transform(array({value}), {name} -> {result})[0]"
 
 
+# Letters side by side.
+LETTER_PAIRS = bound("split(line, '')", "c", "zip_with(c, slice(c, 2, size(c)), (x, y) -> concat(x, coalesce(y, '')))")
+# Parities of a line's parts, and how many of each an edit can turn: a new space makes two words of one,
+# a letter two letter pairs of two. Four hashes of the pairs, as some that differ meet in a bit of one.
+PARITIES = {"words": (parity("split(line, ' ')"), 3), **{f"pairs{i}": (parity("pairs", 6 * i), 4) for i in range(4)}}
+
+
 def common(end: str, x: str, y: str) -> str:
     """SQL for the length of the common head ('left') or tail ('right') of two texts, by halving steps."""
     return f"""aggregate(array({STEPS}), 0, (k, step) -> if(k + step <= least(length({x}), length({y}))
@@ -112,16 +122,19 @@ def line_links(docs: DataFrame, edits: int = 2, least_chars: int = 16) -> DataFr
     # One shuffle brings the lines of a key together; a key of one line, or without an index entry, ends there.
     over = lambda c: c.over(W.partitionBy("key"))
     shared = land(rows.withColumn("low", over(F.min("id"))).withColumn("high", over(F.max("id")))
-                  .withColumn("held", over(F.max((~F.col("probe")).cast("int"))))
-                  .where("low < high AND held = 1").select("key", "id", "probe"), "segments")
+                  .withColumn("held", over(F.max("indexed")))
+                  .where("low < high AND held").select("key", "id", "indexed"), "segments")
     ids = checked_broadcast(shared.select("id").distinct())
     texts = land(lines_of(docs).select("id", "line").join(ids, "id").distinct()
-                 .withColumn("parity", F.expr(WORD_PARITY)).withColumn("chars", F.length("line")), "lines")
-    placed = shared.join(texts.select("id", "parity", "chars"), "id")
-    left, right = (placed.where(F.col("probe") == p).select("key", *(F.col(c).alias(side + c) for c in ("id", "parity", "chars")))
-                   for side, p in (("x", True), ("y", False)))
-    near = ((F.abs(F.col("xchars") - F.col("ychars")) <= edits) & (F.col("xid") != F.col("yid"))
-            & (F.bit_count(F.col("xparity").bitwiseXOR(F.col("yparity"))) <= 3 * edits))
+                 .withColumn("pairs", F.expr(LETTER_PAIRS)).withColumn("chars", F.length("line"))
+                 .withColumns({name: F.expr(sql) for name, (sql, _) in PARITIES.items()}).drop("pairs"), "lines")
+    fields = ["id", "chars", *PARITIES]
+    placed = shared.join(texts.select(fields), "id")
+    left, right = (rows.select("key", *(F.col(c).alias(side + c) for c in fields))
+                   for side, rows in (("x", placed), ("y", placed.where("indexed"))))
+    near = (F.abs(F.col("xchars") - F.col("ychars")) <= edits) & (F.col("xid") != F.col("yid"))
+    for name, (_, turned) in PARITIES.items():
+        near &= F.bit_count(F.col(f"x{name}").bitwiseXOR(F.col(f"y{name}"))) <= turned * edits
     pairs = land(left.join(right, "key").where(near)
                  .select(F.least("xid", "yid").alias("x"), F.greatest("xid", "yid").alias("y")).distinct(), "pairs")
     both = (pairs.join(texts.select(F.col("id").alias("x"), F.col("line").alias("xline")), "x")
