@@ -97,11 +97,15 @@ class Reviewed:
 
 
 def latest_decisions(decisions: DataFrame, stage_fp: str) -> DataFrame:
-    """The last decision recorded per row under one definition."""
+    """The last decision recorded per row under one definition; one without a time comes before all others.
+
+    Decisions of one time are told apart by their content, so that every run takes the same one.
+    """
     mine = decisions.where(F.col("stage_fp") == stage_fp)
     rest = [c for c in decisions.columns if c not in ("stage_fp", "row_fp")]
     packed = F.struct(*[name(c) for c in rest])
-    return (mine.groupBy("row_fp").agg(F.max_by(packed, name("reviewed_at")).alias("_d"))
+    recorded = F.struct(F.coalesce(name("reviewed_at").cast("string"), F.lit("")), F.to_json(packed))
+    return (mine.groupBy("row_fp").agg(F.max_by(packed, recorded).alias("_d"))
             .select("row_fp", "_d"))
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowproof.errors import ContractError, GrainError, StepRefused
 from rowproof.functions.predicate import absent, name
@@ -67,7 +68,9 @@ def injected_table(dataset: DataFrame, override: Sequence[str], expected: Sequen
 
 def _matches(check: Expect, e: Column, a: Column, e_type, a_type) -> Column:
     if check.metric == "exact":
-        test = e == a
+        # Text equals no number, as in predicates.
+        alike = isinstance(e_type, T.StringType) == isinstance(a_type, T.StringType)
+        test = e == a if alike else F.lit(False)
     elif check.metric == "abs_tol":
         test = F.abs(a.cast("double") - e.cast("double")) <= check.tolerance
     else:

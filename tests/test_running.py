@@ -329,3 +329,20 @@ def test_row_operators_take_a_stream(spark, tmp_path):
     spark.createDataFrame([(1, None, "row_ok", 0, "s", 1, "", "x")], EVENTS).write.parquet(log)
     made = extend(follow_events(spark, log), {"upper": "upper(text)"}).frame
     assert made.isStreaming
+
+
+def test_a_decision_without_a_time_counts_until_a_dated_one(spark):
+    from rowproof.operators.review import latest_decisions
+    rows = [("fp", "a", "approve", None), ("fp", "b", "approve", None), ("fp", "b", "reject", "2024-01-01")]
+    decisions = spark.createDataFrame(rows, "stage_fp string, row_fp string, verdict string, reviewed_at string")
+    found = {r.row_fp: r._d.verdict for r in latest_decisions(decisions, "fp").collect()}
+    assert found == {"a": "approve", "b": "reject"}
+
+
+def test_text_equals_no_number_in_an_exact_score(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    from rowproof.quality.scoring import Expect, _matches
+    df = spark.createDataFrame([("x", 1)], "e string, a int")
+    check = Expect("a", metric="exact")
+    assert df.select(_matches(check, F.col("e"), F.col("a"), T.StringType(), T.IntegerType()).alias("m")).first().m is False
