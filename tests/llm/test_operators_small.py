@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from fractions import Fraction as F_
 
 import numpy as np
 import pytest
@@ -123,6 +124,40 @@ def test_mixing(docs, rows, nothing):
         assert all(abs(order[:n].count(source) - share / 11 * n) < 1 for n in range(1, 12))
 
 
+def test_mixing_keeps_within_a_block_of_the_given_weights(spark):
+    def order(sizes, weights):
+        names = [name for name, n in sizes.items() for _ in range(n)]
+        docs = spark.createDataFrame([(i, s) for i, s in enumerate(names)], "doc_id bigint, source string")
+        got = sorted(mixing.mixed_order(docs, weights).collect(), key=lambda r: r["__slot"])
+        assert [r["__slot"] for r in got] == list(range(len(names)))
+        assert sorted(r.doc_id for r in got) == list(range(len(names)))
+        assert all(r["__release"] <= r["__slot"] < r["__due"] for r in got)
+        return [r.source for r in got]
+
+    def held(got, shares, slots):
+        taken = dict.fromkeys(shares, 0)
+        for t, source in enumerate(got[:slots], 1):
+            taken[source] = taken.get(source, 0) + 1
+            for name in shares:
+                assert abs(taken[name] - shares[name] * t) < 1, (name, t)
+
+    # Many small sources beside a large one.
+    small = {f"s{i}": F_(1, 1000) for i in range(150)}
+    shares = {"big": F_(85, 100), **small}
+    got = order({"big": 2550, **dict.fromkeys(small, 3)}, {k: float(v) for k, v in shares.items()})
+    held(got, shares, 2990)
+    # Square roots of the sizes, over many cuts, and a source that runs out early.
+    sizes = {"a": 2000, "b": 1300, "c": 700, "d": 11, "e": 3}
+    roots = {k: n ** 0.5 for k, n in sizes.items()}
+    first = min(int(n * sum(roots.values()) / roots[k]) for k, n in sizes.items())
+    held(order(sizes, None), {k: r / sum(roots.values()) for k, r in roots.items()}, first)
+    # Irrational weights; no slot for a weight of 0 while another source is left.
+    shares = {"a": 2 ** 0.5 / 2, "b": 1 - 2 ** 0.5 / 2, "none": 0}
+    got = order({"a": 800, "b": 400, "none": 30}, shares)
+    held(got, shares, int(800 / shares["a"]))
+    assert got[-30:] == ["none"] * 30
+
+
 def test_toxicity(spark, docs, nothing):
     draw = random.Random(8)
     rows = [(i, sentence(draw, 40) + (" idiot" if i % 4 == 0 else "")) for i in range(400)]
