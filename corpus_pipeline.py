@@ -36,17 +36,22 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns but the text, with its piece ids and their number."""
+    """The documents' columns but the text, with piece ids, their number and the slot of the mixed order; sorted by it.
+
+    Rows read back from files have no order of their own, so the slot is worked out again: it follows from ids and sources.
+    """
     prepare(spark)
     encoded = pieces.encode_checked(F.col("text"), pieces.load_pieces())
-    return (docs.withColumn("__e", encoded).select(*[c for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip")],
-                                                   "__e.ids", "__e.n_tokens", "__e.round_trip"))
+    placed = mixing.mixed_order(docs).repartitionByRange("__slot").sortWithinPartitions("__slot")
+    return (placed.withColumn("__e", encoded)
+            .select(*[c for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip", "slot")],
+                    "__e.ids", "__e.n_tokens", "__e.round_trip", F.col("__slot").alias("slot")))
 
 
 STAGES = [("toxicity", reject_toxic), ("line_dedup", drop_repeated_lines), ("minhash_near_dedup", one_of_each),
           ("mixing", mix_sources), ("sentencepiece", encode)]
 
-# A fitted model, edit distances and piece ids have no SQL; tests hold the stages to plain versions.
+# A fitted model, edit distances and piece ids have no SQL; tests hold the stages' operators to plain versions.
 ORACLE_SQL = None
 
 
