@@ -2,9 +2,9 @@
 
 A text is the set of its terms: its words without punctuation, and the first five bytes of each
 word longer than that. Terms are hashed into buckets; the buckets that tell the classes apart on the
-labelled rows carry a weight each and a short vector, and the score is
+labelled rows, alone or in a pair, carry a weight each and a short vector, and the score is
 sigmoid(bias + sum of weights + sum over pairs of the products of their vectors), so that a pair of
-terms can count for more, or less, than its parts.
+terms can count for more, or less, than its parts, also where each part alone says nothing.
 
 Null and empty texts score as texts without terms. Repeated rows score alike. With no labelled row,
 or only one class among them, every score is the smoothed share of label 1.
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,6 @@ PREFIX = 5
 @dataclass(frozen=True)
 class Settings:
     buckets: int = 1 << 20
-    terms: int = 4096
     least_rows: int = 3
     factors: int = 8
     epochs: int = 30
@@ -104,10 +103,64 @@ def fit_machine(rows: list[tuple[np.ndarray, int]], chosen: np.ndarray, s: Setti
     return Machine(s.buckets, chosen, bias, weight, vectors)
 
 
+def evidence(n, t, share):
+    """Twice the log likelihood ratio of `t` toxic rows among `n` against a share of toxic rows."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (np.where(t > 0, t * np.log(t / (n * share)), 0.0)
+                    + np.where(n > t, (n - t) * np.log((n - t) / (n * (1 - share))), 0.0))
+
+
+def paired(spark: SparkSession, terms: np.ndarray, ends: np.ndarray, label: np.ndarray, n: np.ndarray, t: np.ndarray,
+           share: float, least_rows: int) -> np.ndarray:
+    """Terms of pairs that tell the classes apart beyond the share of all rows and that of either term; in every pair of terms.
+
+    `terms` holds each row's terms, which are ascending numbers; `n` and `t` their rows and toxic rows.
+    """
+    known = int((n >= least_rows).sum())
+    least = 2 * np.log(max(known * (known - 1) // 2, 1))
+    # No pair of a rarer term can reach that.
+    often = np.flatnonzero((n >= least_rows) & (2 * n * -np.log(min(share, 1 - share)) >= least))
+    if len(often) < 2:
+        return np.empty(0, np.int64)
+    number = np.full(len(n), -1, dtype=np.int32)
+    number[often] = np.arange(len(often))
+    rows = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
+    kept = number[terms] >= 0
+    rows, terms = rows[kept], number[terms][kept]
+    first = np.searchsorted(rows, np.arange(len(ends) + 1))
+    order = np.argsort(terms, kind="stable")
+    begin = np.searchsorted(terms[order], np.arange(len(often) + 1))
+    # A row's terms ascend: those after a term, up to the row's end, are its pairs.
+    after, stop, toxic = order + 1, first[rows[order] + 1], label[rows[order]] == 1
+    rate = (t[often] + share) / (n[often] + 1)
+
+    def beside(a, only):
+        held = slice(begin[a], begin[a + 1])
+        spans_ = [terms[x:y] for x, y in zip(after[held][only], stop[held][only])]
+        return np.bincount(np.concatenate(spans_) if spans_ else np.empty(0, np.int32), minlength=len(rate))
+
+    def found(batches):
+        for batch in batches:
+            told = set()
+            for a in batch["id"].to_pylist():
+                both, ill = beside(a, slice(None)), beside(a, toxic[begin[a]:begin[a + 1]])
+                b = a + 1 + np.flatnonzero(both[a + 1:] >= least_rows)
+                told_by = np.minimum(evidence(both[b], ill[b], share),
+                                     np.minimum(evidence(both[b], ill[b], rate[a]), evidence(both[b], ill[b], rate[b])))
+                b = b[told_by >= least]
+                if len(b):
+                    told.update(b.tolist(), [a])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(told), pa.int64())], ["term"])
+
+    parts = 4 * spark.sparkContext.defaultParallelism
+    told = spark.range(0, len(often), 1, parts).mapInArrow(found, "term bigint").distinct().toArrow()["term"].to_numpy()
+    return often[told]
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), held_out: Column | None = None) -> Machine:
     """A machine fitted on at most `most_rows` labelled documents, those of `held_out` left out.
 
-    Term counts per class are summed over the sample in Spark; only its chosen terms reach the driver.
+    The buckets of the sample's texts reach the driver, not the texts; pairs are counted in tasks.
     """
     s = settings
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -118,46 +171,30 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), h
     # At most `most_rows` pairs of numbers are broadcast.
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
-    def counted(batches):
-        for batch in batches:
-            label = batch["label"].to_numpy(zero_copy_only=False)
-            sets = term_sets(batch["text"], s.buckets)
-            terms = np.concatenate(sets) if sets else np.empty(0, np.int32)
-            toxic = np.repeat(label, [len(x) for x in sets])
-            found, back = np.unique(terms, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.astype(np.int32)), pa.array(np.bincount(back, minlength=len(found)).astype(np.int64)),
-                 pa.array(np.bincount(back, weights=toxic, minlength=len(found)).astype(np.int64))],
-                ["bucket", "n", "n_toxic"])
-
-    classes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    rows, ones = sum(classes.values()), classes.get(1, 0)
-    counts = (texts.select("text", "label").mapInArrow(counted, "bucket int, n bigint, n_toxic bigint")
-              .groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("t"))
-              .where(F.col("n") >= s.least_rows))
-    # Evidence of a term against the label (twice the log likelihood ratio); it must exceed what the
-    # best of as many meaningless terms would reach.
-    share, n, t = F.lit((ones + 0.5) / (rows + 1)), F.col("n"), F.col("t")
-    part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
-    candidates = Observation()
-    best = (counts.observe(candidates, F.count(F.lit(1)).alias("terms"))
-            .withColumn("evidence", 2 * (part(t, share) + part(n - t, 1 - share)))
-            .orderBy(F.col("evidence").desc(), "bucket").limit(s.terms).select("bucket", "evidence").collect())
-    least = 2 * np.log(max(candidates.get["terms"] or 0, 1)) if best else 0.0
-    chosen = np.array(sorted(r["bucket"] for r in best if r["evidence"] >= least), dtype=np.int32)
-    blank = Machine(s.buckets, chosen, 0.0, np.zeros(len(chosen)), np.zeros((len(chosen), s.factors)))
-
     def placed(batches):
         for batch in batches:
-            sets = [blank.places(x) for x in term_sets(batch["text"], s.buckets)]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["label"], pa.array([x.tolist() for x in sets], pa.list_(pa.int32()))],
-                ["doc_id", "label", "places"])
-
-    fitted = (texts.select("doc_id", "text", "label").mapInArrow(placed, "doc_id bigint, label int, places array<int>")
-              .toArrow().sort_by([("doc_id", "ascending")]))
-    return fit_machine([(np.array(p, dtype=np.int64), int(y == 1)) for y, p in
-                        zip(fitted["label"].to_pylist(), fitted["places"].to_pylist())], chosen, s)
+                [batch["doc_id"], batch["label"], pa.array(term_sets(batch["text"], s.buckets), pa.list_(pa.int32()))],
+                ["doc_id", "label", "terms"])
+
+    found = (texts.select("doc_id", "text", "label").mapInArrow(placed, "doc_id bigint, label int, terms array<int>")
+             .toArrow().sort_by([("doc_id", "ascending")]))
+    label = (found["label"].to_numpy() == 1).astype(np.int64)
+    held = found["terms"].combine_chunks()
+    sizes = held.value_lengths().to_numpy().astype(np.int64)
+    buckets, terms = np.unique(held.flatten().to_numpy(), return_inverse=True)
+    n = np.bincount(terms, minlength=len(buckets))
+    t = np.bincount(terms, weights=np.repeat(label, sizes), minlength=len(buckets))
+    share = (label.sum() + 0.5) / (len(label) + 1)
+    # Evidence of a term, or a pair, against the label must exceed what the best of as many meaningless ones would reach.
+    known = n >= s.least_rows
+    alone = known & (evidence(n, t, share) >= 2 * np.log(max(known.sum(), 1)))
+    ends = np.cumsum(sizes)
+    told = np.union1d(np.flatnonzero(alone), paired(docs.sparkSession, terms, ends, label, n, t, share, s.least_rows)).astype(np.int64)
+    place = np.full(len(buckets), -1, dtype=np.int64)
+    place[told] = np.arange(len(told))
+    rows = [x[x >= 0] for x in np.split(place[terms], ends[:-1])] if len(ends) else []
+    return fit_machine(list(zip(rows, label.tolist())), buckets[told].astype(np.int32), s)
 
 
 def toxicity_score(text: Column, machine: Machine) -> Column:

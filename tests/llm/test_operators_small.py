@@ -172,6 +172,17 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.score_documents(nothing, labels).count() == 0
 
 
+def test_toxicity_learns_a_pair_whose_terms_are_neutral_alone(spark):
+    draw = random.Random(9)
+    kinds = [(draw.random() < .5, draw.random() < .5) for _ in range(900)]
+    rows = [(i, sentence(draw, 12) + " zebra" * a + " quill" * b) for i, (a, b) in enumerate(kinds)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(a == b)) for i, (a, b) in enumerate(kinds)], "doc_id bigint, toxic int")
+    held = toxicity.score_documents(texts, labels, 0.5).where("held_out").collect()
+    right = sum(r.predicted == int(kinds[r.doc_id][0] == kinds[r.doc_id][1]) for r in held)
+    assert len(held) > 200 and right > 0.9 * len(held)
+
+
 def test_pieces_round_trip_and_greatest_score(docs):
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     import sentencepiece
