@@ -266,6 +266,18 @@ def test_passages(spark, nothing):
     assert passages.passages(nothing).count() == 0
 
 
+def test_passages_whose_seeds_have_other_first_and_last_documents(spark):
+    draw = random.Random(6)
+    whole = sentence(draw, 60).split()
+    rows = [(i, f"{sentence(draw, 40)} {' '.join(part)} {sentence(draw, 40)}") for i, part in (
+        (1, whole[:35]), (2, whole[25:]), (100, whole), (101, whole), (102, whole), (200, whole[:35]), (201, whole[25:]))]
+    got = passages.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} >= {(100, 102), (101, 100), (101, 102), (102, 100)}
+    assert {r.doc_id for r in got} == {100, 101, 102}
+    assert len(got) == len({(r.doc_id, r.other_id) for r in got})
+    assert all(r.end_word - r.start_word >= 60 and r.start_word <= 40 for r in got)
+
+
 def test_language(docs, rows, nothing):
     got = language.score(docs, language.held_out_fifth()).collect()
     assert len(got) == len(rows)
