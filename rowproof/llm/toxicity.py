@@ -128,18 +128,22 @@ def paired(spark: SparkSession, terms: np.ndarray, ends: np.ndarray, label: np.n
     kept = number[terms] >= 0
     rows, terms = rows[kept], number[terms][kept]
     first = np.searchsorted(rows, np.arange(len(ends) + 1))
-    order = np.argsort(terms, kind="stable")
-    begin = np.searchsorted(terms[order], np.arange(len(often) + 1))
-    # A row's terms ascend: those after a term, up to the row's end, are its pairs.
-    after, stop, toxic = order + 1, first[rows[order] + 1], label[rows[order]] == 1
+    # Tasks are sent the short numbers alone, and sort them themselves.
+    terms, first = terms.astype(np.uint16 if len(often) <= 1 << 16 else np.int32), first.astype(np.int32)
     rate = (t[often] + share) / (n[often] + 1)
 
-    def beside(a, only):
-        held = slice(begin[a], begin[a + 1])
-        spans_ = [terms[x:y] for x, y in zip(after[held][only], stop[held][only])]
-        return np.bincount(np.concatenate(spans_) if spans_ else np.empty(0, np.int32), minlength=len(rate))
-
     def found(batches):
+        order = np.argsort(terms, kind="stable")
+        begin = np.searchsorted(terms[order], np.arange(len(rate) + 1))
+        rows = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(first))[order]
+        # A row's terms ascend: those after a term, up to the row's end, are its pairs.
+        after, stop, toxic = order + 1, first[rows + 1], label[rows] == 1
+
+        def beside(a, only):
+            held = slice(begin[a], begin[a + 1])
+            spans_ = [terms[x:y] for x, y in zip(after[held][only].tolist(), stop[held][only].tolist())]
+            return np.bincount(np.concatenate(spans_) if spans_ else np.empty(0, np.int32), minlength=len(rate))
+
         for batch in batches:
             told = set()
             for a in batch["id"].to_pylist():
