@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowproof.llm import fingerprint, language, lines, mixing, neardup, passages, pieces, topk, toxicity, warc
+from rowproof.llm import (fingerprint, interactions, language, lines, mixing, neardup, passages, pieces, sql, topk, toxicity, warc,
+                          webtext)
 from rowproof.llm.base import table
 from rowproof.session import land
 
@@ -53,5 +54,14 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", encoded.alias("e")).select("doc_id", "e.ids", "e.n_tokens", "e.round_trip")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_language, op3_line_dedup, op4_fingerprints, op5_top_k, op6_mixing, op7_passages, op8_toxicity, op9_near_duplicates, op10_sentencepiece)}
-SQL: dict[str, str] = {}
+def op11_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    return interactions.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return webtext.extract(table(spark, folder, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_language, op3_line_dedup, op4_fingerprints, op5_top_k, op6_mixing, op7_passages, op8_toxicity, op9_near_duplicates, op10_sentencepiece,
+                                   op11_interactions, op13_main_text)}
+SQL: dict[str, str] = {"op11_interactions": sql.INTERACTIONS}
