@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowproof.llm import (fingerprint, interactions, language, lines, mixing, neardup, passages, pieces, sql, topk, toxicity, warc,
+from rowproof.llm import (collocations, fingerprint, interactions, language, lines, mixing, neardup, passages, pieces, sql, topk, toxicity, warc,
                           webtext)
 from rowproof.llm.base import table
 from rowproof.session import land
@@ -58,10 +58,14 @@ def op11_interactions(spark: SparkSession, folder: str) -> DataFrame:
     return interactions.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op13_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return webtext.extract(table(spark, folder, "pages"))
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_language, op3_line_dedup, op4_fingerprints, op5_top_k, op6_mixing, op7_passages, op8_toxicity, op9_near_duplicates, op10_sentencepiece,
-                                   op11_interactions, op13_main_text)}
-SQL: dict[str, str] = {"op11_interactions": sql.INTERACTIONS}
+                                   op11_interactions, op12_collocations, op13_main_text)}
+SQL: dict[str, str] = {"op11_interactions": sql.INTERACTIONS, "op12_collocations": sql.COLLOCATIONS}

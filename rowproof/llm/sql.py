@@ -42,3 +42,43 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
   (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
 FROM figures
 """
+
+COLLOCATIONS = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang,
+    regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[.,;:!?\x0A-\x0D]', chr(10), 'g'), chr(10)) AS pieces
+  FROM documents
+), pieces AS (
+  SELECT lang, unnest(pieces) AS words FROM cut
+), worded AS (
+  SELECT lang, row_number() OVER () AS piece, regexp_extract_all(words, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::HUGEINT AS n FROM worded GROUP BY lang
+), runs AS (
+  SELECT lang, w1, lead(w1, 1) OVER x AS w2, lead(w1, 2) OVER x AS w3, lead(w1, 3) OVER x AS w4, lead(w1, 4) OVER x AS w5
+  FROM (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM worded) WINDOW x AS (PARTITION BY piece ORDER BY i)
+), grams AS (
+  SELECT lang, [w1] AS p, count(*)::HUGEINT AS a FROM runs GROUP BY ALL HAVING a >= 100 UNION ALL
+  SELECT lang, [w1, w2], count(*) AS a FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING a >= 100 UNION ALL
+  SELECT lang, [w1, w2, w3], count(*) AS a FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING a >= 100 UNION ALL
+  SELECT lang, [w1, w2, w3, w4], count(*) AS a FROM runs WHERE w4 IS NOT NULL GROUP BY ALL HAVING a >= 100 UNION ALL
+  SELECT lang, [w1, w2, w3, w4, w5], count(*) AS a FROM runs WHERE w5 IS NOT NULL GROUP BY ALL HAVING a >= 100
+), cuts AS (
+  SELECT g.lang, g.p, g.a, n, k, l.a AS l, r.a AS r, (1000 * g.a * n) // (l.a * r.a) AS score
+  FROM grams g JOIN totals t ON t.lang = g.lang, range(1, 5) AS s(k)
+  JOIN grams l ON l.lang = g.lang AND l.p = g.p[1:k] JOIN grams r ON r.lang = g.lang AND r.p = g.p[k + 1:]
+  WHERE k < len(g.p)
+), weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), inner_ones AS (
+  SELECT lang, p[i:j] AS p, max(a) AS longer FROM grams, range(1, 5) AS s(i), range(2, 6) AS u(j)
+  WHERE j > i AND j <= len(p) AND j - i + 1 < len(p) GROUP BY ALL
+), left_over AS (
+  SELECT w.*, array_to_string(w.p, ' ') AS phrase FROM weakest w LEFT JOIN inner_ones i ON i.lang = w.lang AND i.p = w.p
+  WHERE longer IS NULL OR 100 * longer < 100 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l,
+  r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM left_over QUALIFY rank <= 2000
+"""
