@@ -18,7 +18,8 @@ Only phrases tied with the ones reported get their words spelled out before the
 
 A null text is the empty text, a null lang `und`; rows without words give nothing, nor does an empty table. Ids are
 not looked at: rows that repeat count as often as they stand there. Columns other than text and lang are not looked
-at, whatever their names. A text is never divided, however long: a chunk is as large as its longest text at least.
+at, whatever their names. A text is never divided, however long: a chunk
+is at least as large as its longest text.
 """
 from __future__ import annotations
 
@@ -157,7 +158,9 @@ class Filter:
         """Sort keys and add up the counts of equal ones."""
         if counts is None and layout.lanes == 2 and layout.width <= 32:
             # Both lanes fit one number: sorted without moving anything else.
-            keys = np.sort(lanes[0] << np.uint64(layout.width) | lanes[1])
+            keys = lanes[0] << np.uint64(layout.width)
+            keys |= lanes[1]
+            keys.sort()
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
             kept = keys[first]
             return cls(layout, [kept >> np.uint64(layout.width), kept & np.uint64((1 << layout.width) - 1)],
@@ -250,8 +253,10 @@ def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             pairs = np.repeat(of_text, np.concatenate(sizes)) * max(total, 1) + coded.indices.to_numpy(zero_copy_only=False)
             known, local, counts = np.unique(pairs, return_inverse=True, return_counts=True)
             end = np.concatenate(ends)
-            body = np.zeros(len(local) + int(end.sum()), dtype=np.int64)
+            del pairs
+            body = np.zeros(len(local) + int(end.sum()), dtype=np.uint32)
             body[np.arange(len(local)) + np.cumsum(end) - end] = local + 1
+            del local
             words.clear(), langs.clear(), sizes.clear(), ends.clear()
             held, n = 0, len(known)
             if n:
@@ -272,6 +277,8 @@ def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             begin, end, first = spans(data, starts, INSIDE)
             if not len(begin):
                 continue
+            if words and held + len(data) > chunk_bytes:
+                yield from close()
             inside = LOWER[data[INSIDE[data]]]
             offsets = np.concatenate([[0], np.cumsum(end - begin)])
             words.append(pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(inside)))
@@ -283,8 +290,6 @@ def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             langs.append(batch["lang"].cast(pa.large_string()))
             sizes.append(np.diff(first))
             held += len(data)
-            if held >= chunk_bytes:
-                yield from close()
         if words:
             yield from close()
 
@@ -316,8 +321,14 @@ def encoded(landed: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 # n-grams of one length
 
-def _lanes_at(ids: np.ndarray, at: np.ndarray, layout: Layout) -> list[np.ndarray]:
-    return layout.permute(layout.pack([ids[at + i] for i in range(layout.n)]))
+def _lanes_at(ids: np.ndarray, at: np.ndarray, layout: Layout, block: int = 1 << 16) -> list[np.ndarray]:
+    """Permuted lanes of the n-grams that begin at these places, a block at a time: work arrays stay small."""
+    out = [np.empty(len(at), np.uint64) for _ in range(layout.lanes)]
+    for low in range(0, len(at), block):
+        here = at[low:low + block]
+        for lane, part in zip(out, layout.permute(layout.pack([ids[here + i] for i in range(layout.n)]))):
+            lane[low:low + block] = part
+    return out
 
 
 def chunk_filters(bodies: DataFrame, kept: DataFrame | None, layout: Layout, fan_bits: int) -> DataFrame:
@@ -329,7 +340,7 @@ def chunk_filters(bodies: DataFrame, kept: DataFrame | None, layout: Layout, fan
         for batch in batches:
             for row in range(len(batch)):
                 chunk = batch["chunk"][row].as_py()
-                ids = from_bytes(batch["body"][row].as_py())[0].astype(np.int64)
+                ids = from_bytes(batch["body"][row].as_py())[0]
                 word = ids != 0
                 at = _all_words(word, layout.n if pairs else shorter.n)
                 if not pairs:
