@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ INSIDE[[0x20, 0x09]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 FAN_BITS = 8
 ROUNDS = 4
 
@@ -235,6 +236,18 @@ class Filter:
 
 # Chunks and their words
 
+def _small(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about a megabyte of text, so that work arrays by the byte stay small."""
+    for batch in batches:
+        reach = np.cumsum(pc.binary_length(batch["text"]).fill_null(0).to_numpy(zero_copy_only=False))
+        low = 0
+        while low < len(batch):
+            before = reach[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(reach, before + most, "right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows of chunks: their words (local, lang, word, n) and, in one row of each, the words in order as a body of
     local numbers plus one, 0 where a piece or a text ends."""
@@ -260,17 +273,21 @@ def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             words.clear(), langs.clear(), sizes.clear(), ends.clear()
             held, n = 0, len(known)
             if n:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, chunk), pa.int64()), pa.array(np.arange(n), pa.int32()),
-                     spoken.dictionary.take(pa.array(known // total)).cast(pa.string()),
-                     coded.dictionary.take(pa.array(known % total)).cast(pa.string()), pa.array(counts, pa.int64()),
-                     pa.nulls(n, pa.binary())], [c.split()[0] for c in CHUNKS.split(", ")])
+                for low in range(0, n, 1 << 14):
+                    part = known[low:low + (1 << 14)]
+                    size = len(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(size, chunk), pa.int64()), pa.array(np.arange(low, low + size), pa.int32()),
+                         spoken.dictionary.take(pa.array(part // total)).cast(pa.string()),
+                         coded.dictionary.take(pa.array(part % total)).cast(pa.string()), pa.array(counts[low:low + size], pa.int64()),
+                         pa.nulls(size, pa.binary())], [c.split()[0] for c in CHUNKS.split(", ")])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([chunk], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()),
                      pa.nulls(1, pa.int64()), pa.array([to_bytes(body)], pa.binary())], [c.split()[0] for c in CHUNKS.split(", ")])
             chunk += 1
+            pa.default_memory_pool().release_unused()
 
-        for batch in batches:
+        for batch in _small(batches):
             data, starts = text_bytes(batch["text"])
             if not len(data):
                 continue
@@ -282,9 +299,9 @@ def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             inside = LOWER[data[INSIDE[data]]]
             offsets = np.concatenate([[0], np.cumsum(end - begin)])
             words.append(pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(inside)))
-            breaks = np.cumsum(BREAKS[data], dtype=np.int32)
+            breaks = np.flatnonzero(BREAKS[data])
             last = np.zeros(len(begin), dtype=bool)
-            last[:-1] = breaks[begin[1:]] != breaks[end[:-1] - 1]
+            last[:-1] = np.searchsorted(breaks, begin[1:]) != np.searchsorted(breaks, end[:-1])
             last[first[1:][first[1:] > 0] - 1] = True
             ends.append(last)
             langs.append(batch["lang"].cast(pa.large_string()))
