@@ -56,24 +56,27 @@ MERGED = SLICES + ", ids array<bigint>, a bigint"
 
 # Numbers as bytes
 
-def shrunk(values: np.ndarray) -> np.ndarray:
-    """The same whole numbers in the narrowest unsigned type that holds them all."""
-    most = int(values.max()) if len(values) else 0
-    return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
-
-
 def to_bytes(*columns: np.ndarray) -> bytes:
-    small = [shrunk(c) for c in columns]
-    return b"".join([struct.pack(f"<B{'BQ' * len(small)}", len(small), *(x for c in small for x in (c.itemsize, len(c)))),
-                     *(c.tobytes() for c in small)])
+    """Whole numbers with as many bytes each as the largest of a column needs, laid out byte by byte: all lowest bytes,
+    then all second ones, and so on. High bytes are mostly zeros, which compress away."""
+    heads, planes = [], []
+    for column in columns:
+        size = max(1, (int(column.max()).bit_length() + 7) // 8) if len(column) else 1
+        heads += [size, len(column)]
+        planes += [(column >> np.array(8 * i, column.dtype)).astype(np.uint8).tobytes() for i in range(size)]
+    return b"".join([struct.pack(f"<B{'BQ' * len(columns)}", len(columns), *heads), *planes])
 
 
 def from_bytes(data: bytes) -> list[np.ndarray]:
     heads = struct.unpack_from(f"<{'BQ' * data[0]}", data, 1)
     at, out = 1 + struct.calcsize(f"<{'BQ' * data[0]}"), []
     for size, count in zip(heads[::2], heads[1::2]):
-        out.append(np.frombuffer(data, dtype=f"<u{size}", count=count, offset=at))
-        at += size * count
+        kind = np.uint32 if size <= 4 else np.uint64
+        column = np.zeros(count, dtype=kind)
+        for i in range(size):
+            column |= np.frombuffer(data, dtype=np.uint8, count=count, offset=at).astype(kind) << kind(8 * i)
+            at += count
+        out.append(column)
     return out
 
 
@@ -326,16 +329,23 @@ def encoded(landed: DataFrame, vocabulary: DataFrame) -> DataFrame:
                 ids = numbers[body]
                 # Words between two breaks are in no n-gram, and one break is as good as several.
                 around = np.concatenate([[0], ids, [0]])
-                ids = np.where((around[:-2] == 0) & (around[2:] == 0), 0, ids)
-                ids = ids[(ids != 0) | np.concatenate([[True], ids[:-1] != 0])]
+                ids = _closed(ids, (around[:-2] != 0) | (around[2:] != 0))
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([to_bytes(ids)], pa.binary())], ["chunk", "body"])
 
-    codes = (landed.where("body IS NULL").join(vocabulary.select("lang", "word", "id"), ["lang", "word"])
-             .groupBy("chunk").agg(F.collect_list(F.struct("local", "id")).alias("codes")))
-    return (landed.where("body IS NOT NULL").select("chunk", "body").join(codes, "chunk")
+    # Every word of a chunk goes through the join, so that its size follows the chunks' words, however many are frequent.
+    known = landed.where("body IS NULL").join(vocabulary.select("lang", "word", "id"), ["lang", "word"], "left")
+    codes = (known.groupBy("chunk").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("local", "id"))).alias("codes"))
+             .where(F.size("codes") > 0))
+    return (landed.where("body IS NOT NULL").select("chunk", "body").hint("merge").join(codes, "chunk")
             .mapInArrow(coded, "chunk bigint, body binary"))
 
 
+def _closed(ids: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Word numbers with breaks in place of words that are not kept, and one break for several."""
+    ids = np.where(kept, ids, 0)
+    return ids[(ids != 0) | np.concatenate([[True], ids[:-1] != 0])]
+
+
 # n-grams of one length
 
 def _lanes_at(ids: np.ndarray, at: np.ndarray, layout: Layout, block: int = 1 << 16) -> list[np.ndarray]:
@@ -349,7 +359,8 @@ def _lanes_at(ids: np.ndarray, at: np.ndarray, layout: Layout, block: int = 1 <<
 
 
 def chunk_filters(bodies: DataFrame, kept: DataFrame | None, layout: Layout, fan_bits: int) -> DataFrame:
-    """SLICES of every chunk's filter of the n-grams whose shorter ones (`kept`, rows of chunk and filter) are frequent."""
+    """SLICES of every chunk's filter of the n-grams whose shorter ones (`kept`, rows of chunk and filter) are frequent,
+    and in slot -1 the chunk's body without the words that are in no frequent shorter one."""
     shorter = Layout(layout.n - 1, layout.bits)
     bits, pairs = layout.slot_bits(1, fan_bits), kept is None
 
@@ -365,16 +376,21 @@ def chunk_filters(bodies: DataFrame, kept: DataFrame | None, layout: Layout, fan
                     known = np.zeros(len(ids) + 1, dtype=bool)
                     known[at] = Filter.merge(filters).has(_lanes_at(ids, at, shorter))
                     at = np.flatnonzero(known[:-1] & known[1:])
+                    covered = known[:-1].copy()
+                    for i in range(1, shorter.n):
+                        covered[i:] |= known[:-1][:len(ids) - i]
                 own = Filter.of(layout, _lanes_at(ids, at, layout))
-                cuts = list(own.cut(bits))
+                cuts = [(slot, f.dump()) for slot, f in own.cut(bits)]
+                if cuts and not pairs:
+                    cuts.append((-1, to_bytes(_closed(ids, covered))))
                 if cuts:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([chunk] * len(cuts), pa.int64()), pa.array([s for s, _ in cuts], pa.int64()),
-                         pa.array([f.dump() for _, f in cuts], pa.binary())], ["shard", "slot", "body"])
+                         pa.array([b for _, b in cuts], pa.binary())], ["shard", "slot", "body"])
 
     if kept is not None:
         filters = kept.groupBy("chunk").agg(F.collect_list("body").alias("filters"))
-        bodies = bodies.join(filters, "chunk")
+        bodies = bodies.hint("merge").join(filters, "chunk")
     return bodies.mapInArrow(counted, SLICES)
 
 
@@ -447,9 +463,11 @@ def _dealt(slices: DataFrame, shards: int) -> DataFrame:
 
 
 def frequent_grams(bodies: DataFrame, kept: DataFrame | None, layout: Layout, least: int, shards: int,
-                   fan_bits: int) -> tuple[DataFrame, DataFrame]:
-    """(ids, a) of the n-grams that reach `least`, and (chunk, body) of those in each chunk."""
-    levels, sizes = [land(chunk_filters(bodies, kept, layout, fan_bits), "grams")], []
+                   fan_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ids, a) of the n-grams that reach `least`, (chunk, body) of those in each chunk, and the bodies that longer ones need."""
+    counted = land(chunk_filters(bodies, kept, layout, fan_bits), "grams")
+    left = bodies if kept is None else counted.where("slot = -1").select(F.col("shard").alias("chunk"), "body")
+    levels, sizes = [counted.where("slot >= 0")], []
     while shards > 1 << fan_bits:
         shards = -(-shards >> fan_bits)
         sizes.append(shards)
@@ -459,7 +477,7 @@ def frequent_grams(bodies: DataFrame, kept: DataFrame | None, layout: Layout, le
     for depth in range(len(sizes) - 1, -1, -1):
         finer = layout.slot_bits(depth + 2, fan_bits) - layout.slot_bits(depth + 1, fan_bits)
         back = land(passed_back(levels[depth], back, sizes[depth], layout, finer), "grams")
-    return last.where("ids IS NOT NULL").select("ids", "a"), back.select(F.col("shard").alias("chunk"), "body")
+    return last.where("ids IS NOT NULL").select("ids", "a"), back.select(F.col("shard").alias("chunk"), "body"), left
 
 
 # Scores
@@ -508,7 +526,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, best: int
 
     parts, kept = [vocabulary.select(F.array("id").alias("ids"), "a")], None
     for n in range(2, longest + 1):
-        found, kept = frequent_grams(bodies, kept, Layout(n, bits), least, shards, fan_bits)
+        found, kept, bodies = frequent_grams(bodies, kept, Layout(n, bits), least, shards, fan_bits)
         parts.append(found)
     grams = parts[0]
     for more in parts[1:]:
