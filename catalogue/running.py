@@ -153,6 +153,33 @@ def replay_new_entries(spark, folder):
         F.from_json("output", "words int")["words"].alias("words"), "text_md5")
 
 
+def _words(offset):
+    return lambda missed: missed.withColumn("words", F.size(F.split("text", " ")) + offset)
+
+
+@query("""SELECT doc_id, CAST(len(string_split(text, ' ')) + 1000 AS INTEGER) AS words, 'cached' AS source FROM documents""")
+def replay_after_bust(spark, folder):
+    """What a second working-out recorded is what replays, not the first answer."""
+    documents, writes = _documents(spark, folder), T.StructType([T.StructField("words", T.IntegerType())])
+    first = land(incremental_map(documents, None, _words(0), writes, "words", _STAGE_FP, reads=["text"]).entries, "cache")
+    again = incremental_map(documents, first, _words(1000), writes, "words", _STAGE_FP, reads=["text"], bust_cache=True)
+    cache = land(first.unionByName(again.entries), "cache")
+    made = incremental_map(documents, cache, _words(5), writes, "words", _STAGE_FP, reads=["text"])
+    return made.step.frame.select("doc_id", "words", F.col("_source").alias("source"))
+
+
+@query(_REPLAY + """SELECT count(*) FILTER (WHERE hit) AS hits, CAST(ceil(count(*) FILTER (WHERE NOT hit) / 8.0) AS BIGINT) AS calls,
+CAST(sum(CASE WHEN hit THEN 0 ELSE length(text) END) AS BIGINT) AS chars FROM d""")
+def replay_then_call_batches(spark, folder):
+    """Rows without an answer fill whole batches, however far apart they lie."""
+    def ask(missed):
+        return call_rows(missed, _echo, _CHARS, "{text}", batch_size=8, reads=["text"]).frame
+
+    made = incremental_map(_documents(spark, folder), _cache(spark, folder), ask, _CHARS.struct, "words", _STAGE_FP, reads=["text"])
+    return made.step.frame.agg(F.count_if(F.col("_source") == "cached").alias("hits"), F.sum("_usage.calls").alias("calls"),
+                               F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
+
+
 @query("""WITH s AS (SELECT DISTINCT source AS stage, text, lang FROM documents),
 k AS (SELECT DISTINCT source AS stage, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
 SELECT s.stage, count(*) AS imported, count(*) FILTER (WHERE k.text IS NULL) AS written,
@@ -217,6 +244,23 @@ def call_single_rows(spark, folder):
     return called.select("conv_id", "turn", "chars", F.col("_error").alias("error"))
 
 
+def _echo_odd(prompts, correction):
+    """A service that answers long prompts with text where a number was asked for, and leaves short ones' answer out."""
+    results = [{"row_number": i, **({"chars": "long"} if len(p) > 400 else {} if len(p) < 60 else {"chars": len(p)})}
+               for i, p in enumerate(prompts)]
+    return Reply(results, {"calls": 1})
+
+
+@query("""WITH c AS (SELECT conv_id, turn, length(role || ': ' || text) AS n FROM conversations)
+SELECT conv_id, turn, CASE WHEN n BETWEEN 60 AND 400 THEN n END AS chars,
+CASE WHEN n > 400 THEN 'chars: ''long'' (str) is no int64' WHEN n < 60 THEN 'chars: not written' END AS error FROM c""")
+def call_reply_errors(spark, folder):
+    """Replies that break their declaration fail their own row, not the batch or the job."""
+    spoken = table(spark, folder, "conversations").drop("_src_file", "_src_row")
+    called = call_rows(spoken, _echo_odd, _CHARS, "{role}: {text}", batch_size=8).frame
+    return called.select("conv_id", "turn", "chars", F.col("_error").alias("error"))
+
+
 @query("""SELECT CAST(sum(length(role || ': ' || text)) AS BIGINT) AS input_tokens, count(*) AS output_tokens,
 CAST(ceil(count(*) / 8.0) AS BIGINT) AS calls, CAST(0 AS DOUBLE) AS cost_usd, 'echo' AS model FROM conversations""")
 def call_usage(spark, folder):

@@ -216,6 +216,37 @@ def row_code(spark, folder):
     return map_rows(noted, read_money, Table.of(Col("usd", "float")), reads=["note"]).rows.select("event_id", "usd")
 
 
+@query("""
+SELECT event_id, CASE WHEN event_type = 'signup' THEN event_id % 7 END AS points,
+  CASE WHEN event_type = 'signup' THEN 'good' WHEN event_type <> 'error' THEN event_type END AS grade,
+  CASE event_type WHEN 'click' THEN 'points: 0.5 (float) is no int64' WHEN 'error' THEN 'points: not written; grade: not written'
+    WHEN 'signup' THEN NULL ELSE 'points: ''many'' (str) is no int64' END AS problem
+FROM events""")
+def row_code_errors(spark, folder):
+    """A wrong type, a fraction in an integer and a forgotten key are each one row's own."""
+    def graded(row):
+        if row["event_type"] == "error":
+            return {}
+        if row["event_type"] == "signup":
+            return {"points": row["event_id"] % 7, "grade": "good"}
+        return {"points": 0.5 if row["event_type"] == "click" else "many", "grade": row["event_type"]}
+
+    events = table(spark, folder, "events")
+    made = map_rows(events, graded, Table.of(Col("points", "int"), Col("grade", "str")), reads=["event_id", "event_type"])
+    return made.frame.select("event_id", "points", "grade", F.col("_error").alias("problem"))
+
+
+@query("""
+WITH v AS (SELECT value <> floor(value) AS fraction FROM events)
+SELECT 'whole: a fraction' AS problem, count(*) AS rows FROM v WHERE fraction HAVING count(*) > 0""")
+def row_write_types(spark, folder):
+    """Fractions in a column that is declared to hold integers."""
+    events = replace(table(spark, folder, "events"), {"whole": "value"}).frame
+    checked = check_writes(events, Table.of(Col("whole", "int")))
+    return (checked.where("_error IS NOT NULL").groupBy(F.regexp_replace("_error", "[0-9.E-]+ is not int$", "a fraction").alias("problem"))
+            .agg(F.count(F.lit(1)).alias("rows")))
+
+
 @query("""
 SELECT n_name, r_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers
 FROM nation JOIN region ON n_regionkey = r_regionkey""")

@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rowproof.errors import ContractError
+from rowproof.functions.cells import written_columns
 from rowproof.functions.predicate import name
 from rowproof.functions.text import render_template, template_fields
-from rowproof.ordinals import ORD, data_columns
+from rowproof.ordinals import ORD, data_columns, number_kept
 from rowproof.schema import Table
 from rowproof.step import Step
 
@@ -66,9 +67,10 @@ def call_rows(df: DataFrame, caller: Caller, adds: Table, template: str, batch_s
               parallelism: int | None = None) -> Step:
     """Each row with the reply's columns, `_error` where its call failed, and `_usage`.
 
-    Batches are runs of `batch_size` consecutive positions, so a retried task forms the same
-    ones. A batched reply must answer exactly the items 0..n-1; one that does not is asked for
-    again and then fails its whole batch. `parallelism` is how many tasks call at once: all
+    Batches are `batch_size` rows that follow one another, whatever positions lie between them, so
+    n rows take ceil(n / batch_size) calls and a retried task forms the same batches. A batched
+    reply must answer exactly the items 0..n-1; one that does not is asked for again and then fails
+    its whole batch. A value that a reply lacks or gives another type is a fault of its row alone. `parallelism` is how many tasks call at once: all
     cores by default for batches, the input's own partitions for single rows. Write the result
     before using it twice: a second evaluation calls again.
     """
@@ -77,37 +79,45 @@ def call_rows(df: DataFrame, caller: Caller, adds: Table, template: str, batch_s
     read = list(reads) if reads is not None else data_columns(df)
     check_call(df, template, adds, read)
     prompts = df.withColumn("_prompt", render_template(df, template))
-    prompts = prompts.withColumn("_group", F.expr(f"{ORD} div {batch_size}"))
+    if batch_size > 1:
+        # Positions alone are numbered, so texts are moved once, with their number.
+        dense = number_kept(df.select(ORD), into="_dense").select(ORD, F.expr(f"_dense div {batch_size}").alias("_group"))
+        prompts = prompts.join(dense, ORD)
+    else:
+        prompts = prompts.withColumn("_group", F.col(ORD))
     if batch_size > 1 or parallelism is not None:
         # A stated number of partitions is not merged at run time, however small they are.
         tasks = parallelism or df.sparkSession.sparkContext.defaultParallelism
         prompts = prompts.repartition(tasks, "_group").sortWithinPartitions("_group", ORD)
     flags = T.StructType([T.StructField("_error", T.StringType()), T.StructField("_usage", _USAGE_TYPE)])
-    schema = T.StructType(list(df.schema.fields) + list(adds.struct.fields) + list(flags.fields))
+    fields = [T.StructField(f.name, f.dataType) for f in adds.struct.fields] + list(flags.fields)
+    schema = T.StructType(list(df.schema.fields) + fields)
     added, kept = adds.names, list(df.columns)
-    types = to_arrow_schema(T.StructType(list(adds.struct.fields) + list(flags.fields)))
+    types = to_arrow_schema(T.StructType(fields))
     nothing = {"input_tokens": 0, "output_tokens": 0, "calls": 0, "cost_usd": 0.0, "model": None}
 
     def answer(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         """Whole groups in, the same rows with their replies out; other columns pass untouched."""
         groups = rows.column("_group").to_pylist()
         prompts_ = rows.column("_prompt").to_pylist()
-        made: dict[str, list[Any]] = {f.name: [] for f in types}
+        answered: list[Mapping[str, Any] | None] = []
+        failed: list[str | None] = []
+        spent: list[Mapping[str, Any]] = []
         start = 0
         while start < len(groups):
             end = start + 1
             while end < len(groups) and groups[end] == groups[start]:
                 end += 1
             results, error, usage = _ask(caller, prompts_[start:end], batch_size > 1, max_retries, wait)
-            for i in range(end - start):
-                for column in added:
-                    made[column].append(results[i].get(column) if results else None)
-                made["_error"].append(error)
-                made["_usage"].append(nothing if i else usage)
+            answered += results[:end - start] if results else [None] * (end - start)
+            failed += [error] * (end - start)
+            spent += [usage, *[nothing] * (end - start - 1)]
             start = end
+        cells, faults = written_columns(answered, [f for f in types if f.name in added])
+        cells += [pa.array([e or f for e, f in zip(failed, faults)], pa.string()), pa.array(spent, types.field("_usage").type)]
         out = rows.select(kept)
-        for f in types:
-            out = out.append_column(f, pa.array(made[f.name], type=f.type))
+        for f, column in zip(types, cells):
+            out = out.append_column(f, column)
         yield from out.combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

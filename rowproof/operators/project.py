@@ -11,12 +11,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rowproof.errors import ContractError, StepRefused
+from rowproof.functions.cells import written_columns
 from rowproof.functions.predicate import absent, condition, name
 from rowproof.ordinals import data_columns
-from rowproof.schema import Table
+from rowproof.schema import Col, Table
 from rowproof.step import Step
 
 Expression = Column | str
+ERROR = "_error"
 
 
 def _column(value: Expression) -> Column:
@@ -68,14 +70,18 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, Any]], Mapping[str, Any]],
     """Authored row code: a dict in, a dict out, for what no column expression states.
 
     Runs inside Arrow batches. The written columns rejoin the whole row in the same batch, so
-    nothing is shuffled and positions stay.
+    nothing is shuffled and positions stay. A column that a row did not write, or wrote with another
+    type (a fraction where an integer is declared is one), is null there and named in the row's
+    `_error`, after what stood in it before; other rows are not touched. Code that raises, or
+    returns no mapping at all, ends the job.
     """
     taken = [c.name for c in writes.columns]
-    kept = [f for f in df.schema.fields if f.name not in taken]
-    schema = T.StructType(kept + list(writes.struct.fields))
+    kept = [f for f in df.schema.fields if f.name not in (*taken, ERROR)]
+    written_fields = [T.StructField(f.name, f.dataType) for f in writes.struct.fields]
+    schema = T.StructType([*kept, *written_fields, T.StructField(ERROR, T.StringType())])
     read = list(reads) if reads is not None else data_columns(df)
-    types = to_arrow_schema(writes.struct)
-    carried = [f.name for f in kept]
+    types = to_arrow_schema(T.StructType(written_fields))
+    carried, failed_before = [f.name for f in kept], ERROR in df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,14 +91,16 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, Any]], Mapping[str, Any]],
                 raise TypeError(f"a row function returned {type(wrong).__name__}, not a mapping")
             # Columns the function did not write pass through as they are, never by way of Python.
             cells = [batch.column(c) for c in carried]
-            cells += [pa.array([w.get(f.name) for w in written], type=f.type) for f in types]
-            yield pa.RecordBatch.from_arrays(cells, names=[*carried, *taken])
+            made, faults = written_columns(written, types)
+            if failed_before:
+                faults = ["; ".join(filter(None, both)) or None for both in zip(batch.column(ERROR).to_pylist(), faults)]
+            yield pa.RecordBatch.from_arrays([*cells, *made, pa.array(faults, pa.string())], names=[*carried, *taken, ERROR])
 
     mapped = df.mapInArrow(run, schema)
     order = [c for c in df.columns if not c.startswith("_")]
     order += [c for c in taken if c not in df.columns]
-    hidden = [c for c in df.columns if c.startswith("_")]
-    return Step(mapped.select(*[name(c) for c in order + hidden]), ("_ord",))
+    hidden = [c for c in df.columns if c.startswith("_") and c != ERROR]
+    return Step(mapped.select(*[name(c) for c in [*order, *hidden, ERROR]]), ("_ord",))
 
 
 def map_frames(fn: Callable[..., DataFrame], *frames: DataFrame) -> DataFrame:
@@ -126,6 +134,25 @@ def failure_kind(error: BaseException) -> str:
     return "crash"
 
 
+def _off_type(value: Column, dtype: T.DataType, column: Col) -> Column | None:
+    """Where a present value is not of the declared type; null when no value of this column can be off it."""
+    wanted, number = column.spark_type, isinstance(dtype, T.NumericType)
+    if isinstance(dtype, T.StringType):
+        return value.try_cast(wanted).isNull() if column.type in ("int", "float", "bool", "date", "datetime") else (
+            None if isinstance(wanted, T.StringType) else F.lit(True))
+    if column.type == "int" and number:
+        # Beyond 64 bits or with a fraction; an infinity is neither equal to its rounding's cast nor castable.
+        return None if isinstance(dtype, T.IntegralType) else F.coalesce(value.try_cast("bigint") != value, F.lit(True))
+    if column.type == "float" and number:
+        return None
+    if column.type == "date" and isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_trunc("day", value) != value
+    if column.type == "datetime" and isinstance(dtype, (T.DateType, T.TimestampNTZType)):
+        return None
+    same = type(dtype) is type(wanted) or isinstance(dtype, (T.StructType, T.MapType)) and isinstance(wanted, (T.StructType, T.MapType))
+    return None if same else F.lit(True)
+
+
 def write_violations(df: DataFrame, declared: Table) -> Column:
     """What is wrong with the columns a row wrote, as one text; null when nothing is."""
     found: list[Column] = []
@@ -149,9 +176,10 @@ def write_violations(df: DataFrame, declared: Table) -> Column:
             found.append(F.when(~gone & outside, F.concat(
                 F.lit(f"{column.name}: "), value.cast("string"),
                 F.lit(f" is outside [{column.range[0]}, {column.range[1]}]"))))
-        if column.type in ("int", "float", "bool", "date", "datetime") and isinstance(dtype, T.StringType):
-            found.append(F.when(~gone & value.try_cast(column.spark_type).isNull(), F.concat(
-                F.lit(f"{column.name}: "), value, F.lit(f" is not {column.type}"))))
+        odd = _off_type(value, dtype, column)
+        if odd is not None:
+            found.append(F.when(~gone & odd, F.concat(
+                F.lit(f"{column.name}: "), value.cast("string"), F.lit(f" is not {column.type}"))))
     if not found:
         return F.lit(None).cast("string")
     return F.nullif(F.concat_ws("; ", *found), F.lit(""))

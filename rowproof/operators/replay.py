@@ -2,11 +2,12 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,14 +17,18 @@ from rowproof.ordinals import ORD, data_columns
 from rowproof.session import land
 from rowproof.step import Step
 
-CACHE = "key_version int, stage string, stage_fp string, row_fp string, frozen_input string, output string"
+CACHE = "key_version int, stage string, stage_fp string, row_fp string, frozen_input string, output string, seq bigint"
 KEY_VERSION = 1
 KEY = ["stage", "stage_fp", "row_fp"]
 
 
 @dataclass(frozen=True)
 class Replayed:
-    """`step` holds all rows; `entries` are to be appended to the cache; `counts` is hits and misses."""
+    """`step` holds all rows; `entries` are to be appended to the cache; `counts` is hits and misses.
+
+    Entries of one call share a `seq` above every one the cache holds: of several answers to one row
+    the one recorded last counts.
+    """
 
     step: Step
     entries: DataFrame
@@ -38,22 +43,21 @@ def incremental_map(df: DataFrame, cache: DataFrame | None, fn: Callable[[DataFr
     `fn` receives the missed rows (reads, `_ord`, `_fp`) and returns them with the written columns
     and, if it can fail on a row, `_error`. It may be costly or call out, so its result is landed
     once and everything below reads that. Failed rows are never recorded. `bust_cache` skips the
-    reading, not the recording.
+    reading, not the recording: what is worked out then replaces older answers.
     """
     read = list(reads) if reads is not None else data_columns(df)
     named = df.withColumn("_fp", row_fingerprint(df, read))
-    answers = None
     if cache is not None and not bust_cache:
         # One answer per fingerprint, so a fingerprint many rows share meets one row.
-        answers = (cache.where((F.col("stage") == stage) & (F.col("stage_fp") == stage_fp)
-                               & (F.col("key_version") == KEY_VERSION))
-                   .groupBy(F.col("row_fp").alias("_fp")).agg(F.min("output").alias("_output")))
+        last = F.min_by("output", F.struct((-_seq(cache)).alias("newest"), F.col("output")))
+        answers = _of_stage(cache, stage, stage_fp).groupBy(F.col("row_fp").alias("_fp")).agg(last.alias("_output"))
         looked = named.join(answers, "_fp", "left")
     else:
         looked = named.withColumn("_output", F.lit(None).cast("string"))
-    missed = looked.where(F.col("_output").isNull()).select(
-        *[name(c) for c in read], ORD, "_fp")
-    made = fn(missed)
+    # Hits, misses and their counts are three readers of one lookup.
+    looked = land(looked, "looked")
+    missing = looked.where(F.col("_output").isNull())
+    made = fn(missing.select(*[name(c) for c in read], ORD, "_fp"))
     wrote = [f.name for f in writes.fields]
     error = name("_error") if "_error" in made.columns else F.lit(None).cast("string").alias("_error")
     usage = [name("_usage")] if "_usage" in made.columns else []
@@ -63,7 +67,7 @@ def incremental_map(df: DataFrame, cache: DataFrame | None, fn: Callable[[DataFr
     hits = looked.where(F.col("_output").isNotNull()).select(
         *[name(c) for c in df.columns], *[parsed[c].alias(c) for c in wrote],
         F.lit(None).cast("string").alias("_error"), F.lit("cached").alias("_source"))
-    fresh = named.drop("_fp").join(
+    fresh = missing.drop("_fp", "_output").join(
         computed.select(ORD, *[name(c) for c in wrote], "_error", *usage), ORD).withColumn(
         "_source", F.lit("computed"))
     whole = hits.unionByName(fresh, allowMissingColumns=True)
@@ -72,12 +76,31 @@ def incremental_map(df: DataFrame, cache: DataFrame | None, fn: Callable[[DataFr
         F.lit(stage_fp).alias("stage_fp"), F.col("_fp").alias("row_fp"),
         canonical_json(computed, read).alias("frozen_input"),
         F.to_json(F.struct(*[name(c) for c in wrote]), {"ignoreNullFields": "false"}).alias("output"),
+        F.lit(_next_seq(cache, stage, stage_fp)).alias("seq"),
     ).dropDuplicates(["row_fp"])
     counts = looked.agg(F.count_if(F.col("_output").isNotNull()).alias("hits"),
                         F.count_if(F.col("_output").isNull()).alias("misses"))
     return Replayed(Step(whole, (ORD,)), entries, counts)
 
 
+def _of_stage(cache: DataFrame, stage: str, stage_fp: str) -> DataFrame:
+    return cache.where((F.col("stage") == stage) & (F.col("stage_fp") == stage_fp) & (F.col("key_version") == KEY_VERSION))
+
+
+def _seq(cache: DataFrame) -> Column:
+    """When an entry was recorded; caches written before there was a sequence come first."""
+    return F.coalesce(F.col("seq"), F.lit(0).cast("bigint")) if "seq" in cache.columns else F.lit(0).cast("bigint")
+
+
+def _next_seq(cache: DataFrame | None, stage: str, stage_fp: str) -> int:
+    """Above every entry of the stage, and above those of a cache that was not given, by the clock."""
+    now = time.time_ns()
+    if cache is None:
+        return now
+    held = _of_stage(cache, stage, stage_fp).agg(F.max(_seq(cache))).first()[0]
+    return max(now, (held or 0) + 1)
+
+
 # ── whole tables ───────────────────────────────────────────────────────────
 
 

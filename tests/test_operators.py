@@ -360,3 +360,33 @@ def test_union(numbered):
         union(left, numbered([("w",)], "a string"))
     with pytest.raises(ContractError):
         union(left, right, contracts=[Table.of(Col("a", "str")), Table.of(Col("a", "str", nullable=False))])
+
+
+def test_row_code_faults_stay_on_their_row(numbered):
+    df = numbered([(k, None) for k in range(8)] + [(8, "earlier")], "k bigint, _error string")
+    made = {0: {"n": 3, "d": 1.5}, 1: {"n": 1.5, "d": 2}, 2: {"n": "x", "d": "y"}, 3: {"n": 2 ** 70, "d": None}, 4: {"n": 2.0, "d": True},
+            5: {"d": 0.5}, 6: {"n": None, "d": float("inf"), "other": 1}, 7: {"n": [1], "d": {}}, 8: {"n": "z", "d": 1.0}}
+    step = map_rows(df, lambda row: made[row["k"]], Table.of(Col("n", "int", nullable=False), Col("d", "float")))
+    got = {r.k: (r.n, r.d, r["_error"]) for r in step.frame.collect()}
+    assert got[0] == (3, 1.5, None) and got[1] == (None, 2.0, "n: 1.5 (float) is no int64") and got[6] == (None, float("inf"), None)
+    assert got[2] == (None, None, "n: 'x' (str) is no int64; d: 'y' (str) is no double")
+    assert got[3][0] is None and got[3][2].startswith("n: 1180591620717411303424 (int)") and got[4] == (2, None, "d: True (bool) is no double")
+    assert got[5] == (None, 0.5, "n: not written") and got[7][2] == "n: [1] (list) is no int64; d: {} (dict) is no double"
+    assert got[8] == (None, 1.0, "earlier; n: 'z' (str) is no int64")
+    assert step.rows.columns == ["k", "n", "d"]
+    with pytest.raises(Exception, match="broken code"):
+        def broken(row):
+            raise RuntimeError("broken code")
+        map_rows(df, broken, Table.of(Col("n", "int"))).rows.collect()
+
+
+def test_declared_types_of_written_columns(numbered):
+    df = numbered([(1.0, 5, True, "2"), (1.5, None, False, "x"), (float("inf"), 7, None, None), (None, 8, True, "3.5")],
+                  "d double, n bigint, b boolean, s string")
+    def wrong(*columns):
+        return [r["_error"] for r in check_writes(df, Table.of(*columns)).orderBy("_ord").collect()]
+    assert wrong(Col("d", "int")) == [None, "d: 1.5 is not int", "d: Infinity is not int", None]
+    assert wrong(Col("n", "float")) == [None] * 4 and wrong(Col("n", "int")) == [None] * 4
+    assert wrong(Col("n", "str")) == ["n: 5 is not str", None, "n: 7 is not str", "n: 8 is not str"]
+    assert wrong(Col("b", "int")) == ["b: true is not int", "b: false is not int", None, "b: true is not int"]
+    assert wrong(Col("s", "int")) == [None, "s: x is not int", None, "s: 3.5 is not int"]

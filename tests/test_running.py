@@ -132,7 +132,7 @@ def test_table_fingerprints(numbered, spark, tmp_path):
 
 def test_caches_merge(spark):
     def entries(*keys):
-        return spark.createDataFrame([(1, s, f, r, "{}", "{}") for s, f, r in keys], CACHE)
+        return spark.createDataFrame([(1, s, f, r, "{}", "{}", 1) for s, f, r in keys], CACHE)
     source = entries(("s", "f1", "a"), ("s", "f1", "b"), ("s", "f2", "c"), ("t", "f1", "d"))
     merged = merge_cache(source, entries(("s", "f1", "a")), spark.createDataFrame([("s", "f1")], "stage string, stage_fp string"))
     assert sorted(r.row_fp for r in merged.entries.collect()) == ["b", "c", "d"]
@@ -346,3 +346,35 @@ def test_text_equals_no_number_in_an_exact_score(spark):
     df = spark.createDataFrame([("x", 1)], "e string, a int")
     check = Expect("a", metric="exact")
     assert df.select(_matches(check, F.col("e"), F.col("a"), T.StringType(), T.IntegerType()).alias("m")).first().m is False
+
+
+def test_the_answer_recorded_last_replays(items, spark):
+    writes = T.StructType([T.StructField("up", T.StringType())])
+    def answer(text):
+        return lambda missed: missed.withColumn("up", F.concat(F.lit(text), F.col("id")))
+    first = incremental_map(items, None, answer("z-old-"), writes, "s", "fp", reads=["id"])
+    cache = spark.createDataFrame(first.entries.collect(), CACHE)
+    bust = incremental_map(items, cache, answer("a-new-"), writes, "s", "fp", reads=["id"], bust_cache=True)
+    newer = spark.createDataFrame([*cache.collect(), *bust.entries.collect()], CACHE)
+    assert newer.groupBy("row_fp").agg(F.countDistinct("seq").alias("n")).where("n <> 2").count() == 0
+    again = incremental_map(items, newer, answer("no"), writes, "s", "fp", reads=["id"])
+    assert {r.up for r in again.step.frame.collect()} == {f"a-new-{i}" for i in "abcde"}
+    # Entries of a cache without a sequence are older than any with one.
+    plain = incremental_map(items, cache.drop("seq"), answer("no"), writes, "s", "fp", reads=["id"])
+    assert {r.up for r in plain.step.frame.collect()} == {f"z-old-{i}" for i in "abcde"}
+
+
+def test_batches_are_of_rows_not_of_positions(spark):
+    rows = [(f"t{i}", i * 1000003) for i in range(17)]
+    df = spark.createDataFrame(rows, "t string, _ord bigint").repartition(5)
+    step = call_rows(df, _answer, ADDS, "{t}", batch_size=8)
+    assert usage_total(step.frame).first()["calls"] == 3
+    assert {r.t: r.answer for r in step.rows.collect()} == {r.t: r.answer for r in call_rows(df, _answer, ADDS, "{t}").rows.collect()}
+
+
+def test_a_reply_off_its_declaration_fails_its_row(items):
+    def odd(prompts, correction):
+        return Reply([{"row_number": i, "answer": 3 if p == "b" else p, **({} if p == "c" else {"size": i})} for i, p in enumerate(prompts)])
+    got = {r.id: (r.answer, r["_error"]) for r in call_rows(items, odd, ADDS, "{id}", batch_size=5).frame.collect()}
+    assert got["a"] == ("a", None) and got["b"][0] is None and "3 (int)" in got["b"][1]
+    assert got["c"] == ("c", "size: not written") and got["e"] == ("e", None)
