@@ -16,7 +16,7 @@ from rowproof.quality.scoring import (
     Expect, check_counts, coverage, example_rows, failed_rows, rollup, run_cases, score, score_with)
 from rowproof.schema import Col, Table
 from rowproof.session import land
-from rowproof.sources import export_csv, publish, read_source, source_edges, spread, weigh_files, write_output
+from rowproof.sources import export_csv, lost_cells, publish, read_source, source_edges, spread, weigh_files, write_output
 from rowproof.sources.sinks import BOM, export_bundle
 
 QUERIES: dict[str, Query] = {}
@@ -562,6 +562,21 @@ def _written_orders(spark, folder, fmt, separator=","):
     return path
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 <> 5 THEN CAST(o_orderdate AS DATE) END AS day,
+(SELECT count(*) FROM orders WHERE o_orderkey % 6 = 5) AS lost FROM orders""")
+def source_date_spellings(spark, folder):
+    """Dates as people spell them, from a text file, and the number of cells that are none."""
+    day = "cast(o_orderdate AS date)"
+    spelled = [f"date_format({day}, '{shape}')" for shape in ("yyyy/MM/dd", "d MMM yyyy", "MMMM d, yyyy", "M/d/yyyy h:mm a", "dd-MMM-yyyy")]
+    cases = " ".join(f"WHEN {i} THEN {text}" for i, text in enumerate(spelled))
+    path = scratch(spark, "dates")
+    (table(spark, folder, "orders", ordinals=False).selectExpr("o_orderkey", f"CASE o_orderkey % 6 {cases} ELSE 'someday' END AS day")
+     .write.option("header", True).csv(path))
+    read = read_source(spark, path, "csv", Table.of(Col("o_orderkey", "int"), Col("day", "date")), ordinals=False)
+    lost = {r["column"]: r["lost"] for r in lost_cells(read).collect()}
+    return read.select("o_orderkey", "day", F.lit(lost["day"]).alias("lost"))
+
+
 @query(_ORDERS_SQL)
 def source_csv(spark, folder):
     """Zero-padded text survives, absent words read as absent, each column reads as declared."""

@@ -513,6 +513,17 @@ def union_inputs(spark, folder):
     return union(customers, suppliers, nations).rows
 
 
+@query("""WITH u AS (SELECT c_name AS name, 0 AS part, c_custkey AS k FROM customer WHERE c_acctbal > 2000
+UNION ALL SELECT s_name, 1, s_suppkey FROM supplier WHERE s_acctbal > 2000 UNION ALL SELECT n_name, 2, n_nationkey FROM nation)
+SELECT name, row_number() OVER (ORDER BY part, k) - 1 AS place FROM u""")
+def union_of_filtered(spark, folder):
+    """Positions run on without gaps where the inputs have lost rows."""
+    customers = filter_rows(replace(table(spark, folder, "customer"), {"name": "c_name", "b": "c_acctbal"}).frame, "b > 2000").frame
+    suppliers = filter_rows(replace(table(spark, folder, "supplier"), {"name": "s_name", "b": "s_acctbal"}).frame, "b > 2000").frame
+    nations = replace(table(spark, folder, "nation"), {"name": "n_name", "b": "cast(0 AS double)"}).frame
+    return union(customers, suppliers, nations).numbered().select("name", F.col(ORD).alias("place"))
+
+
 @query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
 def explode_names(spark, folder):
     part = replace(table(spark, folder, "part"), {"p_partkey": "p_partkey", "word": "split(p_name, ' ')"}).frame

@@ -231,8 +231,11 @@ def coverage_warnings(coverage: DataFrame, subject: str, reference: str) -> list
 
 
 def align(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Row i of one table beside row i of the other; both must have the same number of rows."""
+    """Row i of one table beside row i of the other; both must have the same number of rows, at the same positions."""
     a, b = left.count(), right.count()
     if a != b:
         raise GrainError(f"{a} row(s) cannot be aligned with {b}")
-    return left.join(right, ORD)
+    both = left.withColumn("_left", F.lit(True)).join(right.withColumn("_right", F.lit(True)), ORD, "full_outer")
+    lone = F.raise_error(F.concat(F.lit("refused: position "), F.col(ORD).cast("string"), F.lit(" is in one table only"))).cast("boolean")
+    met = F.col("_left").isNotNull() & F.col("_right").isNotNull()
+    return both.where(F.when(met, F.lit(True)).otherwise(lone)).drop("_left", "_right")

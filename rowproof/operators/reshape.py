@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from rowproof.errors import ContractError, StepRefused
 from rowproof.functions.predicate import name, present_value
-from rowproof.ordinals import ORD, data_columns, require_ordinal
-from rowproof.schema import Table
+from rowproof.ordinals import BLOCK, ORD, data_columns, require_ordinal, running_offsets
+from rowproof.schema import Table, promoted
 from rowproof.step import CONTRIBUTION, Step, edge_rows
 
 # ── explode ────────────────────────────────────────────────────────────────
@@ -181,21 +181,6 @@ def review_order(df: DataFrame, sort: Sequence[tuple[str, str]]) -> list[Column]
 
 # ── union ──────────────────────────────────────────────────────────────────
 
-_WIDER = ("void", "int", "bigint", "float", "double")
-
-
-def promoted(types: Sequence[T.DataType], column: str) -> T.DataType:
-    """The type a concatenated column takes: all-null gives way, integers join doubles."""
-    distinct = list(dict.fromkeys(t.simpleString() for t in types))
-    by_name = {t.simpleString(): t for t in types}
-    real = [d for d in distinct if d != "void"]
-    if len(real) <= 1:
-        return by_name[real[0]] if real else T.NullType()
-    if all(d in _WIDER for d in real):
-        return by_name[max(real, key=_WIDER.index)]
-    raise ContractError(f"column {column!r} is {' in one input and '.join(real)} in another")
-
-
 def union(*frames: DataFrame, contracts: Sequence[Table] | None = None) -> Step:
     """All rows of every input, in declared order, duplicates kept. Columns are those of the first."""
     if len(frames) < 2:
@@ -229,23 +214,38 @@ def union(*frames: DataFrame, contracts: Sequence[Table] | None = None) -> Step:
         return Step(whole)
     parents = tuple(f"_from{i}" for i in range(len(frames)))
     return _Concatenated(whole, parents, "sorted",
-                         (F.col("_input").asc(), F.col(ORD).asc()), sources=tuple(frames))
+                         (F.col("_input").asc(), F.col(ORD).asc()), inputs=len(frames))
 
 
 @dataclass(frozen=True)
 class _Concatenated(Step):
-    """A union whose inputs are already numbered: positions shift by the rows before each input."""
+    """A union whose inputs are already numbered: positions shift by the rows before each input.
 
-    sources: tuple[DataFrame, ...] = ()
+    Inputs that lost rows are numbered densely by blocks of their old positions first, all in one pass.
+    """
+
+    inputs: int = 0
 
     def numbered(self) -> DataFrame:
         if not self.landed:
-            before, total = [], 0
-            for source in self.sources:
-                before.append(total)
-                last = source.agg(F.max(ORD)).first()[0]
-                total += 0 if last is None else last + 1
-            shift = F.element_at(F.array(*[F.lit(b).cast("bigint") for b in before]),
-                                 F.col("_input") + 1)
-            self.landed.append(self.frame.withColumn(ORD, F.col(ORD) + shift))
+            held = {r["_input"]: r for r in self.frame.groupBy("_input").agg(
+                F.count(F.lit(1)).alias("rows"), F.max(ORD).alias("last")).collect()}
+            if all(r["rows"] == r["last"] + 1 for r in held.values()):
+                before, total = [], 0
+                for i in range(self.inputs):
+                    before.append(total)
+                    total += held[i]["rows"] if i in held else 0
+                shift = F.element_at(F.array(*[F.lit(b).cast("bigint") for b in before]), F.col("_input") + 1)
+                self.landed.append(self.frame.withColumn(ORD, F.col(ORD) + shift))
+            else:
+                self.landed.append(self._dense())
         return self.landed[0]
+
+    def _dense(self) -> DataFrame:
+        block = ["_input", "_block"]
+        blocked = self.frame.withColumn("_block", F.expr(f"`{ORD}` div {BLOCK}"))
+        counts = blocked.groupBy(*block).agg(F.count(F.lit(1)).alias("_rows"))
+        offsets = running_offsets(counts, block, "_rows", "_before").drop("_rows")
+        within = F.row_number().over(W.partitionBy(*block).orderBy(ORD)) - 1
+        return (blocked.withColumn("_within", within).join(offsets, block)
+                .withColumn(ORD, (F.col("_before") + F.col("_within")).cast("bigint")).select(*self.frame.columns))

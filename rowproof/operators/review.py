@@ -178,7 +178,8 @@ def record_decisions(pending: DataFrame, answers: DataFrame, queue: Queue, stage
     """Decisions to append: an answer that changes a value is `modify`, one that changes none `approve`.
 
     `answers` holds row_fp, exactly the reviewed columns, reviewer, reviewed_at, and notes only
-    where the queue declares them.
+    where the queue declares them. An answer to a row that is not pending, and two different answers
+    to one row, are refused by name before anything is recorded; the same answer given twice is one.
     """
     wanted = {"row_fp", "reviewer", "reviewed_at", *queue.reviewed.values()}
     held = set(answers.columns)
@@ -192,6 +193,8 @@ def record_decisions(pending: DataFrame, answers: DataFrame, queue: Queue, stage
         held.discard("notes")
     if held != wanted:
         raise ContractError(f"answers lack {sorted(wanted - held)} and carry unknown {sorted(held - wanted)}")
+    answers = answers.distinct()
+    refuse_answers(pending, answers)
     prefill = pending.select("row_fp", *[name(s).alias(f"_was{i}") for i, s in enumerate(queue.reviewed)])
     # Equal rows share a fingerprint, and one decision answers them all.
     met = answers.join(prefill.dropDuplicates(["row_fp"]), "row_fp")
@@ -207,6 +210,19 @@ def record_decisions(pending: DataFrame, answers: DataFrame, queue: Queue, stage
         "reviewer", "reviewed_at", notes.alias("notes"))
 
 
+def refuse_answers(pending: DataFrame, answers: DataFrame, named: int = 5) -> None:
+    """Refuse answers that no pending row asks for, or that several give to one row: one join of fingerprints."""
+    given = answers.groupBy("row_fp").agg(F.count(F.lit(1)).alias("_given"))
+    asked = pending.select("row_fp").distinct().withColumn("_asked", F.lit(True))
+    odd = given.join(asked, "row_fp", "left").select("row_fp", F.when(F.col("_asked").isNull(), "unknown").when(
+        F.col("_given") > 1, "double").alias("fault")).where("fault IS NOT NULL")
+    counts = {r["fault"]: r["count"] for r in odd.groupBy("fault").count().collect()}
+    if counts:
+        shown = [f"{r['row_fp']} ({r['fault']})" for r in odd.orderBy("fault", "row_fp").limit(named).collect()]
+        raise ContractError(f"{counts.get('unknown', 0)} answer(s) to rows that are not pending and {counts.get('double', 0)} row(s) "
+                            f"answered in two ways: {', '.join(shown)}")
+
+
 def _spelled(column: Column, dtype: T.DataType) -> Column:
     """One spelling per value: a midnight timestamp reads as its date, blank text as absent."""
     text = F.nullif(F.trim(cell_text(column, dtype)), F.lit(""))

@@ -21,19 +21,30 @@ def _text(df: DataFrame, column: str, side: str) -> Column:
 
 
 def aligned(inp: DataFrame, out: DataFrame) -> DataFrame:
-    return inp.alias("was").join(out.alias("now"), F.col(f"was.{ORD}") == F.col(f"now.{ORD}"))
+    """Rows `was` and `now` of one position beside each other; a position that one side lacks has nulls there."""
+    return inp.alias("was").join(out.alias("now"), F.col(f"was.{ORD}") == F.col(f"now.{ORD}"), "full_outer")
+
+
+def _both(test: Column, message: Column) -> Column:
+    """A filter that ends the job, as a refusal, where `test` fails."""
+    return F.when(test, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("refused: "), message)).cast("boolean"))
 
 
 def row_diff(inp: DataFrame, out: DataFrame) -> DataFrame:
     """column, state and changed_cells over two tables that share positions: one join, one pass.
 
+    Tables whose positions differ are refused, from the same pass.
     Cells are compared as rendered text: a difference nobody can see is not one.
     """
     before, after = data_columns(inp), data_columns(out)
     both = [c for c in before if c in after]
-    counts = aligned(inp, out).agg(F.count(F.lit(1)).alias("_rows"), *[
+    sides = {s: F.col(f"{s}.{ORD}") for s in ("was", "now")}
+    counts = aligned(inp, out).agg(*[F.count(c).alias(f"_{s}") for s, c in sides.items()], F.count(F.lit(1)).alias("_rows"), *[
         F.count_if(_text(inp, c, "was") != _text(out, c, "now")).alias(f"n{i}")
         for i, c in enumerate(both)])
+    counts = counts.where(_both((F.col("_was") == F.col("_rows")) & (F.col("_now") == F.col("_rows")), F.concat(
+        F.col("_was").cast("string"), F.lit(" input row(s) and "), F.col("_now").cast("string"),
+        F.lit(" output row(s) share "), (F.col("_was") + F.col("_now") - F.col("_rows")).cast("string"), F.lit(" position(s)"))))
     lines = [F.struct(F.lit(c).alias("column"), F.lit(CARRIED if c in both else DROPPED).alias("state"),
                       (F.col(f"n{both.index(c)}") if c in both else F.lit(0).cast("bigint")).alias("changed_cells"))
              for c in before]
@@ -49,11 +60,18 @@ def require_aligned(inp: DataFrame, out: DataFrame) -> None:
 
 
 def cell_diff(inp: DataFrame, out: DataFrame, first: int | None = SHOWN) -> DataFrame:
-    """ord, column, state, was, now per cell of the first rows; every row when `first` is None."""
+    """ord, column, state, was, now per cell of the first rows; every row when `first` is None.
+
+    Tables of different lengths are refused before, a position that only one of them has when it is met.
+    """
     before, after = data_columns(inp), data_columns(out)
     rows = aligned(inp, out)
     if first is not None:
+        require_aligned(inp, out)
         rows = aligned(inp.where(F.col(ORD) < first), out.where(F.col(ORD) < first))
+    ords = F.col(f"was.{ORD}"), F.col(f"now.{ORD}")
+    rows = rows.where(_both(ords[0].isNotNull() & ords[1].isNotNull(), F.concat(
+        F.lit("position "), F.coalesce(*ords).cast("string"), F.lit(" is in one table only"))))
     cells = []
     for c in [*before, *[a for a in after if a not in before]]:
         was = _text(inp, c, "was") if c in before else F.lit(None).cast("string")

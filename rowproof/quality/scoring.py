@@ -66,11 +66,18 @@ def injected_table(dataset: DataFrame, override: Sequence[str], expected: Sequen
     return dataset.select(*[name(n).alias(c) for c, n in names.items()], ORD)
 
 
+def _family(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.NumericType):
+        return "number"
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "time"
+    return "text" if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)) else dtype.simpleString()
+
+
 def _matches(check: Expect, e: Column, a: Column, e_type, a_type) -> Column:
     if check.metric == "exact":
-        # Text equals no number, as in predicates.
-        alike = isinstance(e_type, T.StringType) == isinstance(a_type, T.StringType)
-        test = e == a if alike else F.lit(False)
+        # Values of two families, such as text and numbers or truth values and numbers, are never equal, as in predicates.
+        test = e == a if _family(e_type) == _family(a_type) else F.lit(False)
     elif check.metric == "abs_tol":
         test = F.abs(a.cast("double") - e.cast("double")) <= check.tolerance
     else:

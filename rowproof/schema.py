@@ -255,3 +255,20 @@ class Signature:
 
 def nullable(column: Col, name: str | None = None) -> Col:
     return replace(column, nullable=True, name=name or column.name)
+
+
+# ── types of one column in several inputs ──────────────────────────────────
+
+_WIDER = ("void", "int", "bigint", "float", "double")
+
+
+def promoted(types: Sequence[T.DataType], column: str) -> T.DataType:
+    """The type a concatenated column takes: all-null gives way, integers join doubles."""
+    distinct = list(dict.fromkeys(t.simpleString() for t in types))
+    by_name = {t.simpleString(): t for t in types}
+    real = [d for d in distinct if d != "void"]
+    if len(real) <= 1:
+        return by_name[real[0]] if real else T.NullType()
+    if all(d in _WIDER for d in real):
+        return by_name[max(real, key=_WIDER.index)]
+    raise ContractError(f"column {column!r} is {' in one input and '.join(real)} in another")

@@ -8,7 +8,6 @@ splits.
 """
 from __future__ import annotations
 
-import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -20,8 +19,9 @@ from pyspark.sql import types as T
 from rowproof.errors import ContractError
 from rowproof.functions.predicate import name
 from rowproof.ordinals import ORD, running_offsets
-from rowproof.schema import DATES, SCALARS, Table
+from rowproof.schema import DATES, SCALARS, Table, promoted
 from rowproof.session import land, look_up
+from rowproof.sources.survey import TextFile, refuse_broken_json, refuse_wide_records, survey_separated
 
 # File name endings and the format each one names.
 FORMATS = {
@@ -35,14 +35,16 @@ NULL_WORDS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Date spellings accepted beside ISO ones, each guarded by its shape.
-DATE_SHAPES = (
+# Spellings of a day once its separators are single spaces, each guarded by its shape.
+DAY_SHAPES = (
     (r"^\d{8}$", "yyyyMMdd"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
-    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^[A-Z][a-z]{3,8} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{4} \d{1,2} \d{1,2}$", "yyyy M d"),
+    (r"^(?:0?[1-9]|1[0-2]) \d{1,2} \d{4}$", "M d yyyy"),
+    (r"^(?:1[3-9]|2\d|3[01]) \d{1,2} \d{4}$", "d M yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
+    (r"^[A-Za-z]{4,9} \d{1,2} \d{4}$", "MMMM d yyyy"),
 )
 
 
@@ -57,10 +59,14 @@ def format_of(path: str) -> str:
 def read_source(spark: SparkSession, paths: str | Sequence[str], format: str | None = None,
                 schema: Table | None = None, *, list_columns: Sequence[str] = (),
                 parse_dates: Sequence[str] = (), dtype: Mapping[str, str] | None = None,
-                delimiter: str | None = None, ordinals: bool = True) -> DataFrame:
+                delimiter: str | None = None, ordinals: bool = True, infer: bool = False) -> DataFrame:
     """One table from one or more files of one format, in the order given.
 
     `ordinals=False` skips positions (and the landing of text formats) for a use that needs none.
+    Text columns that nothing declares stay text; `infer=True` reads the whole of them and makes those
+    whose every cell is an integer, a number or a truth value what they are.
+    A text file is gone through once before it is read: a line with more cells than its header, or that is not a
+    JSON object, is refused by file and number, as are files whose types of one column do not go together.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
@@ -70,17 +76,24 @@ def read_source(spark: SparkSession, paths: str | Sequence[str], format: str | N
         raise ContractError("files of one table share a format")
     if label not in set(FORMATS.values()):
         raise ContractError(f"{label!r} is not a format read here")
-    reads = []
     for path in paths:
         try:
-            reads.append(_read_one(spark, path, label, schema, delimiter))
+            spark.read.text(path)
         except AnalysisException as error:
             if "PATH_NOT_FOUND" in str(error):
                 raise ContractError(f"bound file does not exist: {path}") from error
             raise
+    if label in ("csv", "tsv"):
+        known = survey_separated(spark, paths, ["\t" if label == "tsv" else delimiter] * len(paths))
+        reads = [_read_separated(spark, path, file) for path, file in zip(paths, known)]
+    elif label == "json":
+        refuse_broken_json(spark, paths)
+        reads = [_read_json_lines(spark, path, schema) for path in paths]
+    else:
+        reads = [_read_geojson(spark, path) if label == "geojson" else spark.read.parquet(path) for path in paths]
     _same_columns(paths, reads)
-    whole = _with_origin(reads, label, ordinals)
-    return _typed(whole, label, schema, list_columns, parse_dates, dtype or {})
+    whole = _with_origin(_one_type_each(reads), label, ordinals)
+    return _typed(whole, label, schema, list_columns, parse_dates, dtype or {}, infer)
 
 
 def read_parquet(spark: SparkSession, path: str, ordinals: bool = True) -> DataFrame:
@@ -98,22 +111,27 @@ def _same_columns(paths: Sequence[str], reads: Sequence[DataFrame]) -> None:
                 f"and adds {sorted(here - first)}")
 
 
+def _one_type_each(reads: Sequence[DataFrame]) -> list[DataFrame]:
+    """The files' columns as the types they promote to; types that do not go together are refused from the schemas alone."""
+    columns = [c for c in reads[0].columns if c != "_metadata"]
+    target = {c: promoted([r.schema[c].dataType for r in reads], c) for c in columns}
+    out = []
+    for read in reads:
+        odd = {c: name(c).cast(t) for c, t in target.items() if read.schema[c].dataType != t}
+        out.append(read.select(*[odd[c].alias(c) if c in odd else name(c) for c in columns], "_metadata") if odd else read)
+    return out
+
+
 # ── one file ───────────────────────────────────────────────────────────────
 
 
-def _read_one(spark: SparkSession, path: str, label: str, schema: Table | None,
-              delimiter: str | None) -> DataFrame:
-    if label == "parquet":
-        return spark.read.parquet(path)
-    if label == "json":
-        return _read_json_lines(spark, path, schema)
-    if label == "geojson":
-        return _read_geojson(spark, path)
-    separator = "\t" if label == "tsv" else delimiter or sniff_delimiter(spark, path)
-    western, multi_line = sniff_text(spark, path)
-    read = (spark.read.option("header", True).option("sep", separator).option("escape", '"')
-            .option("multiLine", multi_line).option("encoding", "iso-8859-1" if western else "UTF-8").csv(path))
-    return _from_windows_1252(read, path) if western else read
+def _read_separated(spark: SparkSession, path: str, file: TextFile) -> DataFrame:
+    options = {"header": True, "sep": file.separator, "escape": '"', "multiLine": file.multi_line,
+               "encoding": "iso-8859-1" if file.western else "UTF-8"}
+    read = spark.read.options(**options).csv(path)
+    if file.multi_line:
+        refuse_wide_records(spark, path, read.columns, options, file.separator)
+    return _from_windows_1252(read, path) if file.western else read
 
 
 # Spark decodes ISO-8859-1 but not windows-1252; the two differ in bytes 0x80 to 0x9F alone, which
@@ -135,39 +153,6 @@ def _from_windows_1252(read: DataFrame, path: str) -> DataFrame:
         F.translate(name(c), raw, real).alias(c.translate(str.maketrans(raw, real))) for c in read.columns])
 
 
-def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """Comma or tab, whichever splits the header; a header holding both is judged by later lines."""
-    lines = [r[0] for r in spark.read.text(path).limit(20).collect()]
-    if not lines:
-        return ","
-
-    def width(separator: str, line: str) -> int:
-        return len(next(csv.reader([line], delimiter=separator), [""]))
-
-    able = [s for s in (",", "\t") if width(s, lines[0]) > 1]
-    if len(able) == 1:
-        return able[0]
-    if not able:
-        return ","
-    steady = [s for s in able if all(width(s, line) == width(s, lines[0]) for line in lines)]
-    if len(steady) == 1:
-        return steady[0]
-    raise ContractError(f"{path}: comma- and tab-separated content cannot be told apart")
-
-
-def sniff_text(spark: SparkSession, path: str) -> tuple[bool, bool]:
-    """Whether a file is windows-1252, and whether a quoted cell spans lines: one distributed pass.
-
-    A file is UTF-8 unless some line is not valid UTF-8. Only a file with a line of
-    unbalanced quotes is read as multi-line, since that mode cannot split a file.
-    """
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    found = spark.read.text(path).agg(
-        F.coalesce(F.bool_or(~F.is_valid_utf8("value")), F.lit(False)),
-        F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False))).first()
-    return bool(found[0]), bool(found[1])
-
-
 def _read_json_lines(spark: SparkSession, path: str, schema: Table | None) -> DataFrame:
     reader = spark.read.option("primitivesAsString", True)
     held = reader.json(path).schema
@@ -286,12 +271,26 @@ def split_list(column: Column) -> Column:
 
 
 def parse_when(column: Column) -> Column:
-    """A timestamp from text, or null where no accepted spelling fits."""
+    """A timestamp from text, or null where no accepted spelling fits.
+
+    Beside ISO: a day in digits (year first; or month, day, year, unless the first cannot be a month), or with the
+    month's name before or after the day; separated by spaces, commas, dots, slashes or hyphens; with or without a
+    time of hours and minutes, seconds, and am or pm.
+    """
     text = F.trim(column)
-    shapes = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz"))
-              for shape, pattern in DATE_SHAPES]
+    plain = F.trim(F.regexp_replace(text, r"[\s,./-]+", " "))
+    clock = F.regexp_extract(plain, r" (\d{1,2}:\d{2}(?::\d{2})?(?: ?[AaPp][Mm])?)$", 1)
+    day_text = F.trim(F.regexp_replace(plain, r" \d{1,2}:\d{2}(?::\d{2})?(?: ?[AaPp][Mm])?$", ""))
+    day = F.coalesce(*[F.when(day_text.rlike(shape), F.try_to_timestamp(day_text, F.lit(pattern)).cast("timestamp_ntz"))
+                       for shape, pattern in DAY_SHAPES])
+    parts = F.split(F.regexp_replace(clock, r" ?[AaPp][Mm]$", ""), ":")
+    hour, minute = F.try_element_at(parts, F.lit(1)).try_cast("int"), F.try_element_at(parts, F.lit(2)).try_cast("int")
+    second = F.coalesce(F.try_element_at(parts, F.lit(3)).try_cast("int"), F.lit(0))
+    half = F.lower(F.substring(clock, -2, 1))
+    hour = F.when(half.isin("a", "p"), F.when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))).otherwise(hour)
+    timed = F.when((hour < 24) & (minute < 60) & (second < 60), day + F.make_dt_interval(F.lit(0), hour, minute, second))
     iso = F.when(~text.rlike(r"^\d{8}$"), text.try_cast("timestamp_ntz"))
-    return F.coalesce(*shapes, iso)
+    return F.coalesce(iso, F.when(clock == "", day).otherwise(timed))
 
 
 def typed_cell(column: Column, kind: str) -> Column:
@@ -314,11 +313,14 @@ def typed_cell(column: Column, kind: str) -> Column:
 
 
 def _typed(df: DataFrame, label: str, schema: Table | None, list_columns: Sequence[str],
-           parse_dates: Sequence[str], dtype: Mapping[str, str]) -> DataFrame:
+           parse_dates: Sequence[str], dtype: Mapping[str, str], infer: bool) -> DataFrame:
     """Declared types over text cells. The text itself stays in `_raw_<column>`, unread unless asked for."""
     if label in ("parquet", "geojson"):
         dated = [c for c in parse_dates if isinstance(df.schema[c].dataType, T.StringType)]
         return df.withColumns({c: parse_when(name(c)) for c in dated}) if dated else df
+    free = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and not f.name.startswith("_")
+            and f.name not in (*dtype, *list_columns, *parse_dates) and (schema is None or schema.get(f.name) is None)]
+    dtype = {**inferred(df, free), **dtype} if infer and free else dtype
     cells: list[Column] = []
     for f in df.schema.fields:
         if f.name.startswith("_"):
@@ -344,3 +346,25 @@ def _typed(df: DataFrame, label: str, schema: Table | None, list_columns: Sequen
         else:
             cells.append(text.alias(f.name))
     return df.select(*cells)
+
+
+def inferred(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """The declared type that all present cells of each text column read as, in one pass over all of them; text if none."""
+    figures = []
+    for i, c in enumerate(columns):
+        text = F.trim(F.when(~name(c).isin(list(NULL_WORDS)), name(c)))
+        figures += [F.count(text).alias(f"n{i}"), F.count(F.when(text.rlike(r"^[+-]?\d{1,18}$"), 1)).alias(f"int{i}"),
+                    F.count(F.when(~text.rlike("[dDfF]$"), text.try_cast("double"))).alias(f"float{i}"),
+                    F.count(F.when(F.lower(text).isin("true", "false"), 1)).alias(f"bool{i}")]
+    counts = df.agg(*figures).first()
+    return {c: next((k for k in ("bool", "int", "float") if counts[f"n{i}"] and counts[f"{k}{i}"] == counts[f"n{i}"]), "str")
+            for i, c in enumerate(columns)}
+
+
+def lost_cells(df: DataFrame) -> DataFrame:
+    """column, lost: cells of each typed column whose text was there but does not read as its type; one pass."""
+    typed = [c for c in df.columns if f"_raw_{c}" in df.columns]
+    if not typed:
+        return df.sparkSession.createDataFrame([], "column string, lost bigint")
+    counts = df.agg(*[F.count_if(name(f"_raw_{c}").isNotNull() & name(c).isNull()).alias(f"n{i}") for i, c in enumerate(typed)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("lost")) for i, c in enumerate(typed)])))

@@ -277,6 +277,8 @@ def test_align(numbered):
     from rowproof.errors import GrainError
     with pytest.raises(GrainError):
         align(a, numbered([(1,)], "z int"))
+    with pytest.raises(Exception, match="refused: position [15] is in one table only"):
+        align(a, b.withColumn("_ord", F.col("_ord") * 5)).select("x").collect()
 
 
 # ── aggregate ──
@@ -390,3 +392,15 @@ def test_declared_types_of_written_columns(numbered):
     assert wrong(Col("n", "str")) == ["n: 5 is not str", None, "n: 7 is not str", "n: 8 is not str"]
     assert wrong(Col("b", "int")) == ["b: true is not int", "b: false is not int", None, "b: true is not int"]
     assert wrong(Col("s", "int")) == [None, "s: x is not int", None, "s: 3.5 is not int"]
+
+
+def test_union_of_inputs_that_lost_rows(numbered, spark):
+    left = numbered([(f"l{i}",) for i in range(6)], "a string").where("a IN ('l0', 'l5')")
+    right = numbered([(f"r{i}",) for i in range(4)], "a string").where("a <> 'r0'")
+    none = left.where("a = 'no'")
+    far = spark.createDataFrame([("f0", 3), ("f1", 1 << 40)], "a string, _ord bigint")
+    step = union(left, none, right, far)
+    assert [(r.a, r["_ord"]) for r in step.numbered().orderBy("_ord").collect()] == [
+        (a, i) for i, a in enumerate(["l0", "l5", "r1", "r2", "r3", "f0", "f1"])]
+    assert [(e[0], e[1], e[2]) for e in parents(step, "u", "L", "N", "R", "F")] == [
+        (0, "L", 0), (1, "L", 5), (2, "R", 1), (3, "R", 2), (4, "R", 3), (5, "F", 3), (6, "F", 1 << 40)]

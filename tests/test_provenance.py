@@ -185,3 +185,14 @@ def test_contracts_are_resolved_before_any_job(run):
         with pytest.raises(ContractError):
             Col("c", **bad)
     assert Col("c", "list[list[int]]").spark_type.simpleString() == "array<array<bigint>>"
+
+
+def test_tables_that_do_not_align_are_refused(numbered):
+    three, one = numbered([("x",), ("y",), ("z",)], "a string"), numbered([("x",)], "a string")
+    with pytest.raises(Exception, match=r"refused: 3 input row\(s\) and 1 output row\(s\) share 1 position"):
+        row_diff(three, one).collect()
+    with pytest.raises(GrainError):
+        cell_diff(three, one)
+    with pytest.raises(Exception, match="refused: position [12] is in one table only"):
+        cell_diff(three, one, None).collect()
+    assert [tuple(r) for r in row_diff(one.where("a = 'no'"), one.where("a = 'no'")).collect()] == [("a", "carried", 0)]

@@ -378,3 +378,14 @@ def test_a_reply_off_its_declaration_fails_its_row(items):
     got = {r.id: (r.answer, r["_error"]) for r in call_rows(items, odd, ADDS, "{id}", batch_size=5).frame.collect()}
     assert got["a"] == ("a", None) and got["b"][0] is None and "3 (int)" in got["b"][1]
     assert got["c"] == ("c", "size: not written") and got["e"] == ("e", None)
+
+
+def test_answers_must_meet_one_pending_row_each(items):
+    pending = review(items, QUEUE).pending
+    good = pending.select("row_fp", F.lit("x").alias("final"), F.lit("p").alias("reviewer"), F.lit("t").alias("reviewed_at"))
+    assert record_decisions(pending, good.unionByName(good), QUEUE, "f").count() == 3
+    first = good.limit(1)
+    with pytest.raises(ContractError, match=r"0 answer\(s\) to rows that are not pending and 1 row\(s\) answered in two ways"):
+        record_decisions(pending, good.unionByName(first.withColumn("final", F.lit("y"))), QUEUE, "f")
+    with pytest.raises(ContractError, match=r"1 answer\(s\).*gone \(unknown\)"):
+        record_decisions(pending, good.unionByName(first.withColumn("row_fp", F.lit("gone"))), QUEUE, "f")

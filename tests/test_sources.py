@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rowproof.errors import ContractError
 from rowproof.quality import validate
 from rowproof.schema import Col, Table
-from rowproof.sources import export_bundle, export_csv, publish, read_source, source_edges, weigh_files, write_output
+from rowproof.sources import export_bundle, export_csv, lost_cells, publish, read_source, source_edges, weigh_files, write_output
 from rowproof.sources.readers import spread
 
 
@@ -47,7 +47,7 @@ def test_tabs_encodings_and_quotes(spark, tmp_path):
     one = put(tmp_path, "o.csv", "only\nx\n")
     assert rows(read_source(spark, one), "only") == [("x",)]
     both = put(tmp_path, "b.csv", "a,b\tc\n1,2\t3\n4,5\t6\n")
-    with pytest.raises(ContractError, match="cannot be told apart"):
+    with pytest.raises(ContractError, match="do not tell which"):
         read_source(spark, both)
 
 
@@ -170,3 +170,58 @@ def test_bundle(spark, tmp_path, numbered):
         assert any(part in p for p in held)
     for path, digest in held.items():
         assert hashlib.sha256(open(path, "rb").read()).hexdigest() == digest
+
+
+def test_lines_with_too_many_cells_are_refused(spark, tmp_path):
+    good = put(tmp_path, "good.csv", "a,b\n1,2\n")
+    wide = put(tmp_path, "wide.csv", 'a,b\n1,x\n\n2,"y,z"\n3,y,EXTRA\n4,5,6,7\n')
+    with pytest.raises(ContractError, match=r"wide.csv: line 5 has 3 cells, its header 2"):
+        read_source(spark, [good, wide])
+    tabs = put(tmp_path, "wide.tsv", "a\tb\n1\t2\t3\n")
+    with pytest.raises(ContractError, match="line 2 has 3 cells"):
+        read_source(spark, tabs)
+    spanning = put(tmp_path, "span.csv", 'a,b\n"one\ntwo",1\n"x, y\nz",2,3\n')
+    with pytest.raises(ContractError, match="span.csv: the record that begins .* has more than 2 cells"):
+        read_source(spark, spanning)
+    short = put(tmp_path, "short.csv", "a,b\n1\n2,x\n")
+    assert rows(read_source(spark, short), "a", "b") == [("1", None), ("2", "x")]
+    later = put(tmp_path, "later.csv", "a,b\tc\n" + "1,2\t3\n" * 30 + "4,5 6\n")
+    assert read_source(spark, later).columns[:2] == ["a", "b\tc"]
+    assert rows(read_source(spark, put(tmp_path, "empty.csv", "a,b\n")), "a") == []
+
+
+def test_broken_json_lines_are_refused(spark, tmp_path):
+    good = put(tmp_path, "good.jsonl", '{"a": 1}\n\n{"a": null}\n')
+    assert rows(read_source(spark, good), "a") == [("1",), (None,)]
+    for text in ('{"a": 1}\n{"a": 2\n{"a": 3}\n', '{"a": 1}\n[1]\n', '{"a": 1}\n7\n'):
+        with pytest.raises(ContractError, match="bad.jsonl: line 2 is not a JSON object"):
+            read_source(spark, [good, put(tmp_path, "bad.jsonl", text)])
+
+
+def test_types_that_do_not_go_together(spark, tmp_path, numbered):
+    for folder, ddl, value in (("i", "x int, y string", 1), ("d", "x double, y string", 2.5), ("s", "x string, y string", "t")):
+        spark.createDataFrame([(value, "k")], ddl).write.parquet(str(tmp_path / folder))
+    wide = read_source(spark, [str(tmp_path / "i"), str(tmp_path / "d")], "parquet")
+    assert rows(wide, "x") == [(1.0,), (2.5,)] and wide.schema["x"].dataType.simpleString() == "double"
+    with pytest.raises(ContractError, match="'x' is int in one input and string"):
+        read_source(spark, [str(tmp_path / "i"), str(tmp_path / "s")], "parquet")
+
+
+def test_date_spellings_and_lost_dates(spark, tmp_path):
+    good = {"2024/01/05": (2024, 1, 5), "5 Jan 2024": (2024, 1, 5), "05-Jan-2024": (2024, 1, 5), "January 5 2024": (2024, 1, 5),
+            "2024.1.5": (2024, 1, 5), "31/01/2024": (2024, 1, 31), "1-31-2024": (2024, 1, 31), "5 march 2024": (2024, 3, 5),
+            "2024/01/05 3:04": (2024, 1, 5, 3, 4), "Jan 5, 2024 3:04:05 PM": (2024, 1, 5, 15, 4, 5), "1/5/2024 12:00 am": (2024, 1, 5),
+            "2024-01-05T03:04:05": (2024, 1, 5, 3, 4, 5), "20240105": (2024, 1, 5)}
+    bad = ["never", "2024/13/05", "32 Jan 2024", "1/5/2024 25:00", "1/5/2024 13:00 pm", "5 Foo 2024"]
+    path = put(tmp_path, "d.csv", "k,d\n" + "".join(f'{i},"{t}"\n' for i, t in enumerate([*good, *bad, ""])))
+    df = read_source(spark, path, parse_dates=["d"])
+    assert rows(df, "d") == [(dt.datetime(*v),) for v in good.values()] + [(None,)] * (len(bad) + 1)
+    assert [tuple(r) for r in lost_cells(df).collect()] == [("d", len(bad))]
+
+
+def test_undeclared_columns_can_be_inferred(spark, tmp_path):
+    path = put(tmp_path, "i.csv", "i,f,b,s,z,c\n1,1,true,1,,007\nNA,2.5,False,x,,8\n-3,1e3,TRUE,2,,9\n")
+    df = read_source(spark, path, infer=True, dtype={"c": "str"})
+    assert rows(df, "i", "f", "b", "s", "z", "c") == [(1, 1.0, True, "1", None, "007"), (None, 2.5, False, "x", None, "8"), (-3, 1000.0, True, "2", None, "9")]
+    declared = read_source(spark, path, infer=True, schema=Table.of(Col("i", "str")))
+    assert declared.schema["i"].dataType.simpleString() == "string" and declared.schema["f"].dataType.simpleString() == "double"
