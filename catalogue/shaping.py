@@ -524,6 +524,20 @@ def union_of_filtered(spark, folder):
     return union(customers, suppliers, nations).numbered().select("name", F.col(ORD).alias("place"))
 
 
+@query(r"""SELECT count(*) FILTER (WHERE regexp_matches(text, '(?P<a>[[:upper:]])[[:alpha:]]+\.$')) AS ends,
+  count(*) FILTER (WHERE regexp_matches(text, '^[^[:ascii:]]|\b[[:digit:]]{4}\b')) AS marked,
+  count(*) FILTER (WHERE regexp_full_match(text, '(?s)[[:alpha:]].*[^[:punct:][:space:]]')) AS open_ends,
+  count(*) FILTER (WHERE regexp_matches(text, '(?im)^(?P<first>the|der)\s')) AS lines FROM documents""")
+def filter_patterns(spark, folder):
+    """POSIX classes, named groups and anchors mean the same over whole texts as in the SQL engine."""
+    documents = table(spark, folder, "documents", ordinals=False)
+    tests = {"ends": r"text.str.contains('(?P<a>[[:upper:]])[[:alpha:]]+\\.$')",
+             "marked": r"text.str.contains('^[^[:ascii:]]|\\b[[:digit:]]{4}\\b')",
+             "open_ends": r"text.str.fullmatch('(?s)[[:alpha:]].*[^[:punct:][:space:]]')",
+             "lines": r"text.str.contains('(?im)^(?P<first>the|der)\\s')"}
+    return documents.agg(*[F.count_if(mask(test, documents)).alias(k) for k, test in tests.items()])
+
+
 @query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
 def explode_names(spark, folder):
     part = replace(table(spark, folder, "part"), {"p_partkey": "p_partkey", "word": "split(p_name, ' ')"}).frame

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowproof.errors import PredicateError
+from rowproof.functions.regex import engine_pattern
 
 _TOKEN = re.compile(
     r"""(?P<text>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")"""
@@ -271,6 +272,7 @@ class _Compiler:
             if method == "contains":
                 return column.contains(pattern)
             return column.startswith(pattern) if method == "match" else column == F.lit(pattern)
+        translated = engine_pattern(pattern)
         if method == "contains":
-            return column.rlike(pattern)
-        return column.rlike(rf"\A(?:{pattern})" + (r"\z" if method == "fullmatch" else ""))
+            return column.rlike(translated)
+        return column.rlike(rf"\A(?:{translated})" + (r"\z" if method == "fullmatch" else ""))

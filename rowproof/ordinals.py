@@ -66,6 +66,25 @@ def number_sorted(df: DataFrame, order: Sequence[Column], into: str = ORD) -> Da
             .select(*dict.fromkeys([*df.columns, into])))
 
 
+def running_totals(df: DataFrame, group: str, order: Sequence[Column], weight: str, into: str) -> DataFrame:
+    """`into`: the weights of the rows that come before a row in its group, in a total order of the group.
+
+    Groups are cut where the range partitions are, so one of any size is spread over tasks; what is
+    summed up in one place is a row per group and partition.
+    """
+    placed = (df.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+              .withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    # Range bounds are sampled, so the parts are written once and read twice.
+    landed = land(placed, "running")
+    sums = landed.groupBy(group, "_part").agg(F.sum(weight).alias("_sum"))
+    earlier = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(group, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_part", group).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    within = landed.withColumn("_within", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    return (within.join(offsets, ["_part", group]).withColumn(into, F.col("_before") + F.col("_within"))
+            .select(*dict.fromkeys([*df.columns, into])))
+
+
 def require_ordinal(df: DataFrame, step: str) -> None:
     if ORD not in df.columns or not isinstance(df.schema[ORD].dataType, T.LongType):
         raise ValueError(f"{step} needs numbered rows: read the table with ordinals, or number it")

@@ -173,9 +173,10 @@ def _read_geojson(spark: SparkSession, path: str) -> DataFrame:
     if isinstance(feature, T.StructType) and "properties" in feature.names and isinstance(
             feature["properties"].dataType, T.StructType):
         properties = feature["properties"].dataType
-    # Coordinates differ in depth by geometry type, so they are read as JSON text.
+    # Coordinates differ in depth by geometry type, so they are read as JSON text. So are properties: whether a
+    # feature has a key is asked of the feature, not of the schema that all of them share.
     shape = T.StructType([T.StructField("features", T.ArrayType(T.StructType([
-        T.StructField("properties", properties),
+        T.StructField("properties", T.StringType()),
         T.StructField("geometry", T.StructType([
             T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])),
     ])))])
@@ -184,13 +185,17 @@ def _read_geojson(spark: SparkSession, path: str) -> DataFrame:
     # `try_element_at` gives null where a point carries fewer than two coordinates.
     numbers = F.from_json(F.col("f.geometry.coordinates"), "array<double>")
     point = F.when(F.col("f.geometry.type") == "Point", numbers)
-    cells = [F.col("f.properties")[p].alias(p) for p in properties.names]
+    features = features.withColumn("_p", F.from_json("f.properties", properties) if properties.names else F.lit(None))
+    cells = [F.col("_p")[p].alias(p) for p in properties.names if p not in ("lon", "lat")]
+    keys = F.coalesce(F.json_object_keys("f.properties"), F.array().cast("array<string>"))
     for at, axis in ((1, "lon"), (2, "lat")):
-        if axis not in properties.names:
-            cells.append(F.try_element_at(point, F.lit(at)).alias(axis))
-        elif properties[axis].dataType == T.DoubleType():
-            cells = [c for c, p in zip(cells, properties.names) if p != axis] + [
-                F.coalesce(F.col("f.properties")[axis], F.try_element_at(point, F.lit(at))).alias(axis)]
+        given = F.try_element_at(point, F.lit(at))
+        if axis in properties.names:
+            kind = properties[axis].dataType
+            kind = T.DoubleType() if isinstance(kind, T.NumericType) else kind
+            given = given if kind == T.DoubleType() else given.cast("string") if isinstance(kind, T.StringType) else F.lit(None)
+            given = F.when(F.array_contains(keys, axis), F.col("_p")[axis].cast(kind)).otherwise(given.cast(kind))
+        cells.append(given.alias(axis))
     return features.select(*cells, "_metadata")
 
 

@@ -1,6 +1,8 @@
 import math
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from rowproof.errors import PredicateError
@@ -132,3 +134,35 @@ def test_random_predicates_match_a_plain_model(spark):
     for i, (a, b) in enumerate(rows):
         for k, tree in enumerate(trees):
             assert got[i][f"p{k}"] == _model(tree, {"a": a, "b": b}), (_text(tree), rows[i])
+
+
+PATTERNS = [
+    "[[:alpha:]]+", "[[:^digit:]_]", "^[[:punct:]]$", "(?P<n>x)y", "(?<n>x)+?y", "a.b", "(?s)a.b", "^b$", "(?m)^b$", "(?m)^$", "b$", r"\bé", r"\Bé",
+    r"\s", r"\S\s\S", "[^a-c\\d]", r"[\pL\d]+\z", r"[^\p{Lu}x]", r"\p{Greek}", r"\PL", "(?i)É|ß", "(?i:STRASSE)x", "a{,2}", "x{2}", "x{2,}y",
+    r"\x{e9}", r"\x41", r"\101", r"\Qa.b\E+", "[]a]", "[a-]", "[&&b]", "[a[]", "(?U)x+?y", "a|b|", "(?:a|b)*c", r"\.", r"[\]\[^-]", "é|日", "(?i)[k]", r"\w+\W",
+]
+
+
+def test_patterns_mean_what_the_linear_engine_means(spark):
+    """Every pattern on every text, against the engine whose meaning the language has."""
+    texts = ["", "a", "b", "ab", "a\nb", "a\rb", "a\x85b", "a\u2028b", "b\n", "x\x0by", "xy", "xxy", "xxxy", "é", "É", "ée", "eé", " é", "a.b", "a.bb", "STRASSE", "strassex",
+             "ß", "α", "日本", "1", "_", "-", "^", "]", "[", "&", "\\", "A", "a{,2}", "abc", "cab", "k", "K", "\u212a", "!", "x y", "a\n\nb", "\t", "\xa0", "Q.", "q1", "𝒳"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    whole = {"contains": "{}", "match": r"\A(?:{})", "fullmatch": r"\A(?:{})\z"}
+    odd = []
+    for method, around in whole.items():
+        shown = df.select("i", *[mask(f"t.str.{method}({p!r})", df).alias(f"p{k}") for k, p in enumerate(PATTERNS)]).collect()
+        for k, p in enumerate(PATTERNS):
+            found = pc.match_substring_regex(pa.array(texts), around.replace("{}", p)).to_pylist()
+            want = {i for i, f in enumerate(found) if f}
+            got = {r.i for r in shown if r[f"p{k}"]}
+            if got != want:
+                odd.append((method, p, [texts[i] for i in got ^ want]))
+    assert odd == []
+
+
+def test_patterns_without_an_equivalent_are_refused(spark):
+    df = spark.createDataFrame([("a",)], "t string")
+    for pattern in (r"\C", "(?=a)", r"(a)\1", "a**", "["):
+        with pytest.raises(PredicateError):
+            condition(f"t.str.contains({pattern!r})", df)

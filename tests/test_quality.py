@@ -2,9 +2,9 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from rowproof.errors import ContractError
-from rowproof.functions.quantiles import exact_medians
 from rowproof.quality import check_counts, check_keys, output_shape, profile, rollup_issues, stage_status, validate
 from rowproof.quality.validate import ISSUE_SCHEMA, issue_counts, merge_row_errors
 from rowproof.schema import Col, Table
@@ -109,18 +109,32 @@ def test_profile(numbered):
     assert output_shape(df) == (4, 4)
 
 
-@pytest.mark.parametrize("small", [1, 50, 10_000])
-def test_medians_are_exact_whatever_the_bracket(spark, small):
+def test_medians_and_commonest_values_are_exact(spark):
     rng = random.Random(11)
     a = [rng.gauss(0, 1e6) for _ in range(3001)]
     b = [float(rng.choice([5] * 6 + list(range(50)))) for _ in range(3000)] + [float("nan")]
     c = [rng.choice([1.0, 2.0]) for _ in range(1500)] + [None] * 1501
     df = spark.createDataFrame(list(zip(a, b, c)), "a double, b double, c double")
-    want = {"a": statistics.median(a), "b": statistics.median(b[:-1]),
-            "c": statistics.median([x for x in c if x is not None])}
-    assert exact_medians(df, ["a", "b", "c"], small) == want
+    got = {r.column: r for r in profile(df, max_values=2000).collect()}
+    assert {k: r.median for k, r in got.items()} == {"a": statistics.median(a), "b": statistics.median(b[:-1]),
+                                                     "c": statistics.median([x for x in c if x is not None])}
+    assert got["a"].truncated and len(got["a"]["values"]) == 2000 and got["b"].null_count == 1
+    held = sorted(((b[:-1].count(x), str(x)) for x in set(b[:-1])), key=lambda v: (-v[0], v[1]))
+    assert [(v["count"], v["value"]) for v in got["b"]["values"]] == held
     even = spark.createDataFrame([(1.0,), (2.0,), (5.0,), (7.0,)], "x double")
-    assert exact_medians(even, ["x"], small) == {"x": 3.5}
+    assert profile(even).first().median == 3.5 and profile(even, medians=False).first().median is None
+
+
+def test_running_totals_over_cut_groups(spark):
+    from rowproof.ordinals import running_totals
+    rows = [(g, i, (i * 7) % 5) for g, n in (("big", 5000), ("small", 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i bigint, w bigint").repartition(5)
+    got = {(r.g, r.i): r.t for r in running_totals(df, "g", [F.desc("i")], "w", "t").collect()}
+    want, held = {}, {}
+    for g, i, w in sorted(rows, key=lambda r: -r[1]):
+        want[g, i] = held.get(g, 0)
+        held[g] = held.get(g, 0) + w
+    assert got == want
 
 
 def test_row_errors_beyond_the_listed_ones_are_counted(spark):

@@ -225,3 +225,14 @@ def test_undeclared_columns_can_be_inferred(spark, tmp_path):
     assert rows(df, "i", "f", "b", "s", "z", "c") == [(1, 1.0, True, "1", None, "007"), (None, 2.5, False, "x", None, "8"), (-3, 1000.0, True, "2", None, "9")]
     declared = read_source(spark, path, infer=True, schema=Table.of(Col("i", "str")))
     assert declared.schema["i"].dataType.simpleString() == "string" and declared.schema["f"].dataType.simpleString() == "double"
+
+
+def test_point_coordinates_fill_absent_keys_only(spark, tmp_path):
+    def point(props):
+        return {"type": "Feature", "properties": props, "geometry": {"type": "Point", "coordinates": [1.5, 2.5]}}
+    path = put(tmp_path, "p.geojson", json.dumps({"type": "FeatureCollection", "features": [
+        point({"n": "whole", "lon": 7, "lat": "north"}), point({"n": "absent"}), point({"n": "null", "lon": None}), point(None)]}))
+    assert rows(read_source(spark, path), "n", "lon", "lat") == [
+        ("whole", 7.0, "north"), ("absent", 1.5, "2.5"), ("null", None, "2.5"), (None, 1.5, "2.5")]
+    bare = put(tmp_path, "bare.geojson", json.dumps({"type": "FeatureCollection", "features": [point({}), point(None)]}))
+    assert rows(read_source(spark, bare), "lon", "lat") == [(1.5, 2.5)] * 2
