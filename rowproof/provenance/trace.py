@@ -5,13 +5,15 @@ parents are joined exactly once however many rows are traced.
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowproof.errors import ContractError, StepRefused
 from rowproof.functions.predicate import name
@@ -74,93 +76,88 @@ def _followed(edges: DataFrame) -> DataFrame:
 # ── one row ────────────────────────────────────────────────────────────────
 
 
-@dataclass
-class TraceStep:
+@dataclass(frozen=True)
+class Visit:
+    """A row that a walk came through, and what its stage did to it."""
+
     stage: str
-    kind: str
     ord: int
-    row: dict[str, Any]
-    columns_new: list[str]
-    origin: str
-    branches: list[tuple[str, int]] = field(default_factory=list)
-    contributors: int = 0
-    source_file: str | None = None
-    source_row: int | None = None
+    cells: dict[str, Any]
+    introduced: list[str]             # columns that the row it was made from does not have
+    made_by: str
+    beside: list[tuple[str, int]]     # rows it was also made from, which the walk did not follow
+    fed_by: int                       # rows that only contributed figures
+    read_from: tuple[str, int] | None # file and row of the file
 
 
-@dataclass
-class Trace:
-    steps: list[TraceStep]
-    reached_origin: bool
-    at_stage: str
-    message: str
-
+@dataclass(frozen=True)
+class Walk:
+    """`ends` is `origin`, `summary`, `unrecorded`, or `gone` where the next row is not to be found."""
 
-def _cells(row: Row) -> dict[str, Any]:
-    made = row.asDict(recursive=True)
-    return {k: None if isinstance(v, float) and (v != v or v in (float("inf"), float("-inf"))) else v
-            for k, v in made.items() if not k.startswith("_")}
+    steps: list[Visit]
+    ends: str
 
 
-def trace_row(history: History, stage: str, ordinal: int) -> Trace:
-    """Walk one row back: one lookup by position and one by edge per stage passed."""
+def trace_row(history: History, stage: str, ordinal: int) -> Walk:
+    """One row's walk back: the bulk walk of a single seed, then one read of all rows met and one of their links."""
     if stage not in history:
         raise ContractError(f"stage {stage!r} is not in this run")
-    steps: list[TraceStep] = []
-
-    def end(reached: bool, at: str, message: str) -> Trace:
-        return Trace(steps, reached, at, message)
-
-    while True:
-        spec = history[stage]
-        if spec.table is None:
-            return end(False, stage, "this stage's output is missing from the run")
-        row = spec.table.where(F.col(ORD) == ordinal).first()
-        if row is None:
-            if steps:
-                return end(False, steps[-1].stage, "lineage names a row its parent does not hold")
-            raise IndexError(f"stage {stage!r} holds no row {ordinal}")
-        spine, branches, contributors, recorded = _hops(spec, stage, ordinal)
-        above = spine["parent_stage"] if spine is not None and spine["parent_stage"] != stage else (
-            spec.inputs[0] if len(spec.inputs) == 1 else None)
-        parent = history[above].table if above in history else None
-        seen = set(data_columns(parent)) if parent is not None else set()
-        steps.append(TraceStep(
-            stage, spec.kind, ordinal, _cells(row), [c for c in data_columns(spec.table) if c not in seen],
-            ORIGINS.get(spec.kind, "other"), branches, contributors,
-            spine["source_file"] if spine is not None else None,
-            spine["parent_ord"] if spine is not None and spine["source_file"] else None))
-        if spec.kind == SOURCE:
-            return end(True, stage, "the rows originate here")
-        if spine is not None:
-            if spine["parent_stage"] not in history:
-                return end(False, stage, "the parent named in lineage is not in the run")
-            stage, ordinal = spine["parent_stage"], spine["parent_ord"]
+    tables = [s.table for s in history.values() if s.table is not None]
+    seeds = tables[0].sparkSession.createDataFrame([(stage, ordinal)], "stage string, ord bigint")
+    walked = sorted(trace_rows(history, seeds).collect(), key=lambda r: r["step"])
+    cells, links = _cells_met(history, walked), _links_met(history, walked)
+    if 0 not in cells:
+        raise IndexError(f"stage {stage!r} holds no row {ordinal}")
+    steps: list[Visit] = []
+    onward = [r["stage"] for r in walked[1:]] + [None]
+    for row, source in zip(walked, onward):
+        if row["step"] not in cells:
+            return Walk(steps, "gone")
+        spec = history[row["stage"]]
+        if source is None and len(spec.inputs) == 1:
+            source = spec.inputs[0]
+        known = set(data_columns(history[source].table)) if source in history and history[source].table is not None else set()
+        direct = links.get(row["step"], [])
+        followed = direct[0] if direct else None
+        steps.append(Visit(
+            row["stage"], row["ord"], cells[row["step"]], [c for c in data_columns(spec.table) if c not in known],
+            ORIGINS.get(spec.kind, "other"), [(r["parent_stage"], r["parent_ord"]) for r in direct[1:]],
+            followed["fed_by"] if followed else links.get(("fed", row["step"]), 0),
+            (followed["source_file"], followed["parent_ord"]) if followed and followed["source_file"] else None))
+    return Walk(steps, walked[-1]["ends"] or "gone")
+
+
+def _cells_met(history: History, walked: Sequence[Row]) -> dict[int, dict[str, Any]]:
+    """Each step's cells, from one job over the tables met; a cell that is no finite number is null."""
+    parts = []
+    for row in walked:
+        table = history[row["stage"]].table
+        if table is None:
             continue
-        if recorded:
-            return end(False, stage, "this row summarizes its inputs"
-                       + ("" if contributors else ", and no input row fed it"))
-        if not spec.inputs:
-            return end(False, stage, "no input is recorded for this stage")
-        if not spec.positional:
-            return end(False, stage, f"{spec.kind} reshapes rows, and recorded no lineage")
-        above_table = history[spec.inputs[0]].table if spec.inputs[0] in history else None
-        if above_table is None:
-            return end(False, spec.inputs[0], "this stage's output is missing from the run")
-        if above_table.count() != spec.table.count():
-            return end(False, stage, "the row count differs from the input's, so positions do not align")
-        stage = spec.inputs[0]
-
-
-def _hops(spec: Stage, stage: str, ordinal: int):
-    if spec.edges is None:
-        return None, [], 0, False
-    mine = spec.edges.where((F.col("stage") == stage) & (F.col("ord") == ordinal))
-    direct = mine.where(F.col("kind") == DIRECT).orderBy("pos", "parent_stage", "parent_ord").collect()
-    contributors = mine.where(F.col("kind") == CONTRIBUTION).count()
-    spine = direct[0] if direct else None
-    branches = [(r["parent_stage"], r["parent_ord"]) for r in direct[1:]]
-    return spine, branches, contributors, True
+        shown = [F.when(F.abs(name(c)) < float("inf"), name(c)).alias(c) if isinstance(table.schema[c].dataType, (T.DoubleType, T.FloatType))
+                 else name(c) for c in data_columns(table)]
+        parts.append(table.where(F.col(ORD) == row["ord"]).select(
+            F.lit(row["step"]).alias("step"), F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("cells")))
+    return {r["step"]: json.loads(r["cells"]) for r in _all(parts).collect()} if parts else {}
+
+
+def _links_met(history: History, walked: Sequence[Row]) -> dict[Any, Any]:
+    """Each step's direct links in order, and the number of rows that fed it, from one job over the edges met."""
+    parts = []
+    for row in walked:
+        edges = history[row["stage"]].edges
+        if edges is None:
+            continue
+        mine = edges.where((F.col("stage") == row["stage"]) & (F.col("ord") == row["ord"]))
+        fed = F.count_if(F.col("kind") == CONTRIBUTION).alias("fed_by")
+        link = F.when(F.col("kind") == DIRECT, F.struct("pos", "parent_stage", "parent_ord", "source_file"))
+        # A row has few direct links, one per input; contributors are counted, not gathered.
+        parts.append(mine.groupBy(F.lit(row["step"]).alias("step")).agg(F.sort_array(F.collect_list(link)).alias("links"), fed))
+    found: dict[Any, Any] = {}
+    for r in _all(parts).collect() if parts else []:
+        found["fed", r["step"]] = r["fed_by"]
+        found[r["step"]] = [{**link.asDict(), "fed_by": r["fed_by"]} for link in r["links"]]
+    return found
 
 
 # ── many rows ──────────────────────────────────────────────────────────────

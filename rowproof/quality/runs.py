@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Labels of spend whose model or project was not recorded.
-NO_MODEL, NO_PROJECT = "(model not recorded)", "(no project)"
+NO_MODEL, NO_PROJECT = "not recorded", "no project"
 # Stage statuses, in the order a reader is shown them.
 STATUSES = ("ok", "validation_warnings", "running", "awaiting_review", "error", "cancelled", "pending")
 FINISHED = ("ok", "validation_warnings")

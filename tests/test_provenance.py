@@ -36,17 +36,20 @@ def test_trace_one_row(run):
     _, _, history = run
     got = trace_row(history, "known", 2)
     assert [(s.stage, s.ord) for s in got.steps] == [("known", 2), ("doubled", 2), ("named", 2), ("orders", 2)]
-    assert got.reached_origin and got.steps[1].columns_new == ["twice"] and got.steps[1].origin == "computed"
-    assert got.steps[2].branches == [("clients", 0)] and got.steps[2].columns_new == ["who"]
-    assert got.steps[0].row["who"] == "Ann"
+    assert got.ends == "origin" and got.steps[1].introduced == ["twice"] and got.steps[1].made_by == "computed"
+    assert got.steps[2].beside == [("clients", 0)] and got.steps[2].introduced == ["who"]
+    assert got.steps[0].cells["who"] == "Ann"
     top = trace_row(history, "totals", 0)
-    assert not top.reached_origin and top.steps[0].contributors == 2 and "summarizes" in top.message
+    assert top.ends == "summary" and top.steps[0].fed_by == 2 and len(top.steps) == 1
     with pytest.raises(IndexError):
         trace_row(history, "known", 99)
     with pytest.raises(ContractError):
         trace_row(history, "nowhere", 0)
     reshaped = dict(history, known=Stage("filter_rows", ("doubled",), history["known"].table))
-    assert "no lineage" in trace_row(reshaped, "known", 0).message
+    assert trace_row(reshaped, "known", 0).ends == "unrecorded"
+    lost = dict(history, doubled=Stage("python_row_function", ("named",), history["doubled"].table.where("_ord <> 2")))
+    short = trace_row(lost, "known", 2)
+    assert short.ends == "gone" and [s.stage for s in short.steps] == ["known"]
 
 
 def test_trace_many_rows_agrees_with_one(run, spark):
