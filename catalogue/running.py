@@ -383,7 +383,7 @@ def _entries(spark, folder):
         (F.col("event_id") % 13).alias("output_tokens"), F.lit(1).alias("calls"), "event_id")
 
 
-_ENTRIES = """WITH x AS (SELECT ts AS at, event_type AS source, coalesce(nullif(event_type, 'error'), '(model not recorded)') AS model,
+_ENTRIES = """WITH x AS (SELECT ts AS at, event_type AS source, coalesce(nullif(event_type, 'error'), 'not recorded') AS model,
 CASE WHEN user_id > 100 THEN 'no project' ELSE 'p' || user_id END AS project, value AS cost_usd, event_id % 97 AS i, event_id % 13 AS o, event_id FROM events) """
 _TOTALS = ("round(sum(cost_usd), 2) AS cost_usd, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, "
            "count(*) AS calls, count(*) AS entries FROM x ")
