@@ -304,7 +304,7 @@ def test_spend(spark):
                                      "input_tokens bigint, output_tokens bigint, calls bigint")
     assert [(str(r.day), r.cost_usd, r.entries) for r in runs.daily(df).collect()] == [
         ("2026-01-01", 1.0, 1), ("2026-01-02", 0.0, 0), ("2026-01-03", 0.0, 0), ("2026-01-04", 3.0, 1)]
-    assert [r.label for r in runs.spend_by(df, "model").collect()] == ["(model not recorded)", "m1"]
+    assert [r.label for r in runs.spend_by(df, "model").collect()] == ["not recorded", "m1"]
     assert [r.label for r in runs.spend_by(df, "project").collect()] == ["no project", "p"]
     assert runs.daily(df.where("false")).count() == 0 and runs.spend_total(df.where("false")).first()["entries"] == 0
 
