@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rowproof.llm.base import checked_broadcast
+from rowproof.llm.base import checked_broadcast, unused
 from rowproof.llm.graph import components
 from rowproof.session import land
 
@@ -172,15 +172,16 @@ def drop_repeated_lines(docs: DataFrame, edits: int = 2, least_chars: int = 16)
     # A bit per line, 32 to a number, so that a text of very many lines stays linear.
     word = F.expr("line_no div 32").alias("at")
     bits = classes.groupBy("doc_id", word).agg(F.sum(F.expr("shiftleft(1L, cast(line_no % 32 as int))")).alias("bits"))
+    id_, flags, left = unused(docs.columns, "__id", "__flags", "__left")
     gone = bits.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m"), F.max("at").alias("last")).select(
-        F.col("doc_id").alias("__id"), F.expr("transform(sequence(0L, last), i -> coalesce(m[i], 0L))").alias("__flags"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
-    left_over = F.expr("filter(split(text, '\\n'), (l, i) -> shiftright(coalesce(get(__flags, cast(i div 32 as int)), 0L), cast(i % 32 as int)) & 1 = 0)")
-    joined = joined.withColumn("__left", F.when(F.col("__flags").isNotNull(), left_over))
-    blank = ~F.exists("__left", lambda x: x.rlike(r"[^\x09-\x0D\x20]"))
-    joined = joined.where(F.col("__flags").isNull() | ~blank)
-    text = F.coalesce(F.array_join("__left", "\n"), F.col("text"))
+        F.col("doc_id").alias(id_), F.expr("transform(sequence(0L, last), i -> coalesce(m[i], 0L))").alias(flags))
+    joined = docs.join(gone, F.col("doc_id") == F.col(id_), "left")
+    left_over = F.expr(f"filter(split(text, '\\n'), (l, i) -> shiftright(coalesce(get({flags}, cast(i div 32 as int)), 0L), cast(i % 32 as int)) & 1 = 0)")
+    joined = joined.withColumn(left, F.when(F.col(flags).isNotNull(), left_over))
+    blank = ~F.exists(left, lambda x: x.rlike(r"[^\x09-\x0D\x20]"))
+    joined = joined.where(F.col(flags).isNull() | ~blank)
+    text = F.coalesce(F.array_join(left, "\n"), F.col("text"))
     out = {"text": text}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("__flags").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col(flags).isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return joined.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rowproof.llm.base import unused
 from rowproof.session import land
 
 # Rows of one source and bucket that are numbered together, on average.
@@ -168,31 +169,35 @@ def mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None, par
                 names: Sequence[str] = ("__key", "__rank", "__block", "__slot", "__release", "__due")) -> DataFrame:
     """`docs` with each row's source key, rank in its source and block (from 1), slot, release and due slot (from 0)."""
     key, rank, block, slot, release, due = names
-    keyed = docs.withColumn(key, source_key("source")).withColumn("__spread", scrambled("doc_id"))
+    spread, bucket, at, earlier, *theirs = unused([*docs.columns, *names], "__spread", "__bucket", "__at", "__before",
+                                                  "__k", "__j", "__k2", "__b2", "__s", "__r", "__d")
+    k, j, k2, b2, s_, r_, d_ = theirs
+    keyed = docs.withColumn(key, source_key("source")).withColumn(spread, scrambled("doc_id"))
     total = docs.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
-    keyed = keyed.withColumn("__bucket", F.expr(f"(__spread * {buckets}) div {SCRAMBLED}"))
+    keyed = keyed.withColumn(bucket, F.expr(f"(`{spread}` * {buckets}) div {SCRAMBLED}"))
     # Pre-aggregated counts of every source and bucket, then running sums of those.
-    counts = land(keyed.groupBy(F.col(key).alias("key"), F.col("__bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = land(keyed.groupBy(F.col(key).alias("key"), F.col(bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "counts")
     before = F.sum("n").over(W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     # One number per source reaches the driver.
     sizes = {r["key"]: r["n"] for r in counts.groupBy("key").agg(F.sum("n").alias("n")).collect()}
     slots = land(schedules(docs.sparkSession, phases(sizes, weights, parts, block_rows)), "slots").select(
-        F.col("key").alias("__k"), F.col("block").alias("__j"), "slot", "release", "due")
-    offsets = land(counts.withColumn("rows_before", F.coalesce(before, F.lit(0).cast("bigint"))).drop("n"), "offsets")
+        F.col("key").alias(k), F.col("block").alias(j), F.col("slot").alias(s_), F.col("release").alias(r_), F.col("due").alias(d_))
+    offsets = land(counts.withColumn("rows_before", F.coalesce(before, F.lit(0).cast("bigint"))).drop("n"), "offsets").select(
+        F.col("key").alias(k2), F.col("bucket").alias(b2), F.col("rows_before").alias(earlier))
     ties = [F.xxhash64(*docs.columns)] if "text" in docs.columns else []
-    within = W.partitionBy(key, "__bucket").orderBy("__spread", "doc_id", *ties)
-    ranked = (keyed.withColumn("__at", F.row_number().over(within))
-              .join(offsets.select(F.col("key").alias("__k2"), F.col("bucket").alias("__b2"), "rows_before"),
-                    (F.col(key) == F.col("__k2")) & (F.col("__bucket") == F.col("__b2")))
-              .withColumn(rank, F.col("rows_before") + F.col("__at"))
+    within = W.partitionBy(key, bucket).orderBy(spread, "doc_id", *ties)
+    ranked = (keyed.withColumn(at, F.row_number().over(within))
+              .join(offsets, (F.col(key) == F.col(k2)) & (F.col(bucket) == F.col(b2)))
+              .withColumn(rank, F.col(earlier) + F.col(at))
               .withColumn(block, F.expr(f"(`{rank}` - 1) div {block_rows}")))
-    joined = ranked.join(slots, (F.col(key) == F.col("__k")) & (F.col(block) == F.col("__j")))
-    return joined.select(*docs.columns, F.col(key), F.col(rank), (F.col(block) + 1).alias(block), F.col("slot").alias(slot),
-                         F.col("release").alias(release), F.col("due").alias(due))
+    joined = ranked.join(slots, (F.col(key) == F.col(k)) & (F.col(block) == F.col(j)))
+    return joined.select(*docs.columns, F.col(key), F.col(rank), (F.col(block) + 1).alias(block), F.col(s_).alias(slot),
+                         F.col(r_).alias(release), F.col(d_).alias(due))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, parts: int = 100, block_rows: int = 1) -> DataFrame:
     """The rows of `docs` in mixed order, across and within partitions; written, part files follow it."""
-    placed = mixed_order(docs, weights, parts, block_rows)
-    return placed.repartitionByRange("__slot", "__rank").sortWithinPartitions("__slot", "__rank").select(*docs.columns)
+    names = unused(docs.columns, "__key", "__rank", "__block", "__slot", "__release", "__due")
+    placed = mixed_order(docs, weights, parts, block_rows, names)
+    return placed.repartitionByRange(names[3], names[1]).sortWithinPartitions(names[3], names[1]).select(*docs.columns)

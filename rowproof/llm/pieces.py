@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with a batched numpy Viterbi search.
 
 A text becomes its pieces of the greatest total score (of equal ones the one whose last piece is
-longest, from the end on); a character in no piece becomes its UTF-8 bytes. As in the library, a
+longest, from the end on; scores may be fractions); a character in no piece becomes its UTF-8 bytes. As in the library, a
 space is written as U+2581 and one is put before the text, so decoding gives the text back exactly,
 but for U+2581 itself, which comes back as a space. The model file is a parameter.
 
@@ -42,7 +42,7 @@ class Pieces:
     ids: np.ndarray
     scores: np.ndarray
     longest: int
-    unknown: int
+    unknown: int | float
     first_byte: int
     filter: np.ndarray
     pairs: np.ndarray
@@ -85,17 +85,19 @@ def load_pieces(model_file: str = MODEL) -> Pieces:
         else:
             raw.append(piece.replace(chr(SPACE), " ").encode())
             points = np.array([ord(c) for c in piece], dtype=np.uint32)
-            found.append((int(key_of(points)[0]), i, int(model.get_score(i)), points))
+            found.append((int(key_of(points)[0]), i, model.get_score(i), points))
     found.sort(key=lambda x: x[0])
     keys = np.array([x[0] for x in found], dtype=np.uint64)
-    scores = np.array([x[2] for x in found], dtype=np.int64)
+    scores = np.array([x[2] for x in found], dtype=np.float64)
+    if (scores == np.floor(scores)).all():
+        scores = scores.astype(np.int64)
     seen = np.zeros(1 << 20, dtype=bool)
     seen[keys >> np.uint64(44)] = True
     pairs = np.zeros(1 << 20, dtype=bool)
     for *_, points in found:
         pairs[pair_slots(points[:-1], points[1:])] = True
     return Pieces(keys, np.array([x[1] for x in found], dtype=np.int32), scores, max(len(x[3]) for x in found),
-                  int(scores.min()) - PENALTY, first_byte, seen, pairs,
+                  scores.min().item() - PENALTY, first_byte, seen, pairs,
                   np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
 
 
@@ -106,11 +108,12 @@ def search(points: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     columns = np.ascontiguousarray(points.T)
     np.cumsum(columns.astype(np.uint64) * powers(BASE, size)[:, None], axis=0, out=sums[1:])
     back_powers = inverse_powers(size)
-    best = np.zeros((size + 1, rows), dtype=np.int64)
+    best = np.zeros((size + 1, rows), dtype=p.scores.dtype)
     piece = np.empty((size + 1, rows), dtype=np.int32)
     length = np.empty((size + 1, rows), dtype=np.int16)
+    least = np.iinfo(np.int64).min if p.scores.dtype == np.int64 else -np.inf
     for end in range(1, size + 1):
-        top = np.full(rows, np.iinfo(np.int64).min, dtype=np.int64)
+        top = np.full(rows, least, dtype=p.scores.dtype)
         # From the longest piece down, so that of equal sums the longest stays.
         for take in range(min(end, p.longest), 0, -1):
             at = end - take
@@ -148,7 +151,7 @@ def search_long(points: np.ndarray, p: Pieces, by_key: dict[bytes, int]) -> np.n
             place = by_key.get(raw[4 * (end - take):4 * end], -1)
             if place < 0 and take > 1:
                 continue
-            score = best[end - take] + (int(p.scores[place]) if place >= 0 else p.unknown)
+            score = best[end - take] + (p.scores[place].item() if place >= 0 else p.unknown)
             if top is None or score > top:
                 top, piece[end], length[end] = score, place, take
         best[end] = top
