@@ -6,6 +6,7 @@ Two small collections of half keys, A_1..A_m and B_1..B_m, are drawn from the mi
 functions. The m * m tables are keyed by the pairs (A_i, B_j), so tables cost only their square root
 in minima. A pair at similarity s meets in some table with chance (1 - (1 - s^2)^m)^2, which for
 m = 14 and s = 0.75 is 0.99998. A meeting is only a candidate: a link is confirmed on the full sets.
+Half keys that one document alone holds can meet nothing; they go before any pair of half keys is formed.
 
 How hot tables are kept linear: equal sets are one node from the start. In every bucket each node
 is first compared with one drawn node of its bucket only, in a few turns with other draws. Two nodes
@@ -26,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowproof.llm.base import checked_broadcast, fixed_lists, gram_hashes, list_array, mixed, numbers, whole_groups, word_hashes
+from rowproof.llm.base import checked_broadcast, fixed_lists, gram_hashes, list_array, mixed, numbers, unused, whole_groups, word_hashes
 from rowproof.llm.graph import components
 from rowproof.session import land
 
@@ -156,16 +157,29 @@ def across(left_over: DataFrame, s: Settings) -> DataFrame:
             .mapInArrow(close, "x bigint, y bigint").distinct())
 
 
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """The values of `key` that several nodes hold; minima are taken before the shuffle."""
+    return rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+
+
+def shared_halves(nodes: DataFrame, side: str) -> DataFrame:
+    """(node, of_<side>): which of a node's half keys some other node has as well; nodes without any are left out."""
+    rows = nodes.select("node", F.posexplode(side).alias("i", "half")).select("node", "i", F.xxhash64("i", "half").alias("key"))
+    return rows.join(shared_keys(rows), "key").groupBy("node").agg(F.collect_set("i").alias(f"of_{side}"))
+
+
 def linked_nodes(nodes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """(node, label) of every node with a link; label is the smallest node it reaches.
 
     `nodes` has (node, n, a, b, bits): a document standing for an equal set of n shingles, and its sketch.
     """
-    halves = nodes.select("node", F.posexplode("a").alias("i", "left"), "b")
-    keys = halves.select("node", "i", "left", F.posexplode("b").alias("j", "right")).select(
-        F.xxhash64("i", "j", "left", "right").alias("key"), "node")
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = land(keys.join(shared.select("key"), "key"), "met")
+    # Nodes that meet at (A_i, B_j) share A_i and B_j: tables are formed of the half keys that some other node holds too.
+    left, right = shared_halves(nodes, "a"), shared_halves(nodes, "b")
+    halves = land(left.join(right, "node").join(nodes.select("node", "a", "b"), "node"), "halves")
+    keys = halves.select("node", "a", "b", F.explode("of_a").alias("i"), "of_b").select(
+        "node", "a", "b", "i", F.explode("of_b").alias("j")).select(
+        F.xxhash64("i", "j", F.get("a", "i"), F.get("b", "j")).alias("key"), "node")
+    met = land(keys.join(shared_keys(keys), "key"), "met")
     labels = met.select("node").distinct().join(nodes.select("node", "n").dropDuplicates(["node"]), "node").withColumn("label", F.col("node"))
     compared = None
     for turn in range(s.center_rounds + 1):
@@ -221,8 +235,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of `docs` whose document stays: the smallest id of each group, once; null ids all stay."""
-    stays = near_duplicates(docs, s).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__stays")).distinct()
+    kept_id, place = unused(docs.columns, "__stays", "__turn")
+    stays = near_duplicates(docs, s).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(kept_id)).distinct()
     turn = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    ranked = (docs.where("doc_id IS NOT NULL").join(stays, F.col("doc_id") == F.col("__stays"))
-              .withColumn("__turn", F.row_number().over(turn)).where("__turn = 1"))
+    ranked = (docs.where("doc_id IS NOT NULL").join(stays, F.col("doc_id") == F.col(kept_id))
+              .withColumn(place, F.row_number().over(turn)).where(F.col(place) == 1))
     return ranked.select(docs.columns).union(docs.where("doc_id IS NULL"))
