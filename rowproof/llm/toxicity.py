@@ -110,6 +110,29 @@ def evidence(n, t, share):
                     + np.where(n > t, (n - t) * np.log((n - t) / (n * (1 - share))), 0.0))
 
 
+PIECE = 1 << 20
+
+
+def tally(terms: np.ndarray, size: int, only: np.ndarray | None = None) -> np.ndarray:
+    """How often each number below `size` comes up, piece by piece; where `only` holds, if given."""
+    out = np.zeros(size, dtype=np.int64)
+    for at in range(0, len(terms), PIECE):
+        part = terms[at:at + PIECE]
+        out += np.bincount(part if only is None else part[only[at:at + PIECE]], minlength=size)
+    return out
+
+
+def renumbered(terms: np.ndarray, ends: np.ndarray, number: np.ndarray, kind=np.int32) -> tuple[np.ndarray, np.ndarray]:
+    """Every row's terms by their new numbers, those numbered -1 left out, and where each row starts (one more at the end)."""
+    kept, parts = np.zeros(len(terms) + 1, dtype=np.int32), [np.empty(0, kind)]
+    for at in range(0, len(terms), PIECE):
+        new = number[terms[at:at + PIECE]]
+        kept[at + 1:at + 1 + len(new)] = new >= 0
+        parts.append(new[new >= 0].astype(kind))
+    before = np.cumsum(kept, dtype=np.int32)
+    return np.concatenate(parts), np.concatenate([np.zeros(1, np.int32), before[ends]])
+
+
 def paired(spark: SparkSession, terms: np.ndarray, ends: np.ndarray, label: np.ndarray, n: np.ndarray, t: np.ndarray,
            share: float, least_rows: int) -> np.ndarray:
     """Terms of pairs that tell the classes apart beyond the share of all rows and that of either term; in every pair of terms.
@@ -124,12 +147,8 @@ def paired(spark: SparkSession, terms: np.ndarray, ends: np.ndarray, label: np.n
         return np.empty(0, np.int64)
     number = np.full(len(n), -1, dtype=np.int32)
     number[often] = np.arange(len(often))
-    rows = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
-    kept = number[terms] >= 0
-    rows, terms = rows[kept], number[terms][kept]
-    first = np.searchsorted(rows, np.arange(len(ends) + 1))
     # Tasks are sent the short numbers alone, and sort them themselves.
-    terms, first = terms.astype(np.uint16 if len(often) <= 1 << 16 else np.int32), first.astype(np.int32)
+    terms, first = renumbered(terms, ends, number, np.uint16 if len(often) <= 1 << 16 else np.int32)
     rate = (t[often] + share) / (n[often] + 1)
 
     def found(batches):
@@ -181,24 +200,31 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), h
                 [batch["doc_id"], batch["label"], pa.array(term_sets(batch["text"], s.buckets), pa.list_(pa.int32()))],
                 ["doc_id", "label", "terms"])
 
-    found = (texts.select("doc_id", "text", "label").mapInArrow(placed, "doc_id bigint, label int, terms array<int>")
-             .toArrow().sort_by([("doc_id", "ascending")]))
+    found = texts.select("doc_id", "text", "label").mapInArrow(placed, "doc_id bigint, label int, terms array<int>").toArrow()
     label = (found["label"].to_numpy() == 1).astype(np.int64)
-    held = found["terms"].combine_chunks()
-    sizes = held.value_lengths().to_numpy().astype(np.int64)
-    buckets, terms = np.unique(held.flatten().to_numpy(), return_inverse=True)
-    n = np.bincount(terms, minlength=len(buckets))
-    t = np.bincount(terms, weights=np.repeat(label, sizes), minlength=len(buckets))
+    by_id = np.argsort(found["doc_id"].to_numpy(), kind="stable").tolist()
+    sizes = np.concatenate([np.empty(0, np.int64), *(c.value_lengths().to_numpy() for c in found["terms"].chunks)]).astype(np.int64)
+    # One flat array of all rows' terms, and where each row's end: nothing else of that length outlives its use.
+    terms = np.concatenate([np.empty(0, np.int32), *(c.flatten().to_numpy() for c in found["terms"].chunks)])
+    del found
+    pa.default_memory_pool().release_unused()
+    ends = np.cumsum(sizes)
+    n = tally(terms, s.buckets)
+    buckets = np.flatnonzero(n)
+    n, t = n[buckets], tally(terms, s.buckets, np.repeat(label == 1, sizes))[buckets]
+    number = np.zeros(s.buckets, dtype=np.int32)
+    number[buckets] = np.arange(len(buckets))
+    terms, _ = renumbered(terms, ends, number)
     share = (label.sum() + 0.5) / (len(label) + 1)
     # Evidence of a term, or a pair, against the label must exceed what the best of as many meaningless ones would reach.
     known = n >= s.least_rows
     alone = known & (evidence(n, t, share) >= 2 * np.log(max(known.sum(), 1)))
-    ends = np.cumsum(sizes)
     told = np.union1d(np.flatnonzero(alone), paired(docs.sparkSession, terms, ends, label, n, t, share, s.least_rows)).astype(np.int64)
-    place = np.full(len(buckets), -1, dtype=np.int64)
+    place = np.full(len(buckets), -1, dtype=np.int32)
     place[told] = np.arange(len(told))
-    rows = [x[x >= 0] for x in np.split(place[terms], ends[:-1])] if len(ends) else []
-    return fit_machine(list(zip(rows, label.tolist())), buckets[told].astype(np.int32), s)
+    terms, first = renumbered(terms, ends, place)
+    rows = [(terms[first[k]:first[k + 1]], int(label[k])) for k in by_id]
+    return fit_machine(rows, buckets[told].astype(np.int32), s)
 
 
 def toxicity_score(text: Column, machine: Machine) -> Column:
