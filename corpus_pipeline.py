@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowproof.llm import lines, mixing, neardup, pieces, toxicity
-from rowproof.llm.base import prepare, table
+from rowproof.llm.base import prepare, table, unused
 from rowproof.session import session_folder
 
 
@@ -42,10 +42,12 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     prepare(spark)
     encoded = pieces.encode_checked(F.col("text"), pieces.load_pieces())
-    placed = mixing.mixed_order(docs).repartitionByRange("__slot").sortWithinPartitions("__slot")
-    return (placed.withColumn("__e", encoded)
+    *names, made = unused(docs.columns, "__key", "__rank", "__block", "__slot", "__release", "__due", "__encoded")
+    slot = names[3]
+    placed = mixing.mixed_order(docs, names=names).repartitionByRange(slot).sortWithinPartitions(slot)
+    return (placed.withColumn(made, encoded)
             .select(*[c for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip", "slot")],
-                    "__e.ids", "__e.n_tokens", "__e.round_trip", F.col("__slot").alias("slot")))
+                    f"{made}.ids", f"{made}.n_tokens", f"{made}.round_trip", F.col(slot).alias("slot")))
 
 
 STAGES = [("toxicity", reject_toxic), ("line_dedup", drop_repeated_lines), ("minhash_near_dedup", one_of_each),
