@@ -12,13 +12,13 @@ from rowproof.errors import CardinalityError, ContractError, GrainError
 from rowproof.functions.predicate import absent, name, present_value
 from rowproof.functions.text import cell_text
 from rowproof.ordinals import ORD
+from rowproof.session import LOOKUP_ROWS, land
 from rowproof.step import Step
 
 Keys = Sequence[tuple[str, str] | str]
 SAMPLE = 10
-# A reference key with more rows than this is matched in slices by several tasks.
-HOT_ROWS = 1_000_000
-SLICES = 64
+# Rows of one reference key that are matched in one place; a key with more is cut into as many slices as that takes.
+SLICE_ROWS = 1_000_000
 
 
 def key_pairs(keys: Keys) -> list[tuple[str, str]]:
@@ -108,30 +108,37 @@ def enrich(subject: DataFrame, reference: DataFrame, keys: Keys,
 
 
 def expand(subject: DataFrame, reference: DataFrame, keys: Keys, enrich_with: Mapping[str, str],
-           null_keys_match: bool = True, hot_rows: int | None = HOT_ROWS) -> Step:
+           null_keys_match: bool = True, hot_rows: int | None = SLICE_ROWS) -> Step:
     """Each subject row once per matching reference row, and once with nulls where none matches.
 
-    A reference key with more than `hot_rows` rows is cut into slices, each met by its own
-    copy of the subject rows, so that no single task reads the whole key. There are at most
-    (reference rows / hot_rows) such keys. A hot subject side is split by adaptive execution.
+    A reference key with n rows is cut into ceil(n / `hot_rows`) slices, each met by its own copy
+    of the subject rows, so that no task reads more of a key than that. A reference row's slice
+    follows from its position, or in a table without positions from its values, so that a
+    repeated task deals it alike; only equal rows of an unnumbered table stay in one slice. Keys
+    of several slices are counted once and written; there are at most (reference rows / `hot_rows`)
+    of them. A hot subject side is split by adaptive execution. `hot_rows=None` cuts nothing.
     """
     pairs = key_pairs(keys)
     _check(subject, reference, pairs, enrich_with)
+    if hot_rows is not None and hot_rows < 1:
+        raise ContractError("hot_rows is 1 or more, or None")
     narrowed = _narrowed(reference, pairs, enrich_with)
     key_names = [f"_key{i}" for i in range(len(pairs))]
     if not null_keys_match:
         for key in key_names:
             narrowed = narrowed.where(F.col(key).isNotNull())
     on = _on(subject, pairs, null_keys_match)
-    hot = None
-    if hot_rows is not None and ORD in subject.columns and "_ref_ord" in narrowed.columns:
-        counted = (narrowed.groupBy(*key_names).count()
-                   .where(F.col("count") > hot_rows).select(*key_names))
-        hot = None if counted.isEmpty() else counted
-    if hot is None:
+    joined = None
+    if hot_rows is not None:
+        slices = F.ceil(F.col("count") / hot_rows).cast("int").alias("_slices")
+        hot = land(narrowed.groupBy(*key_names).count().where(F.col("count") > hot_rows)
+                   .select(*[F.col(k).alias(f"_hot{k}") for k in key_names], slices), "hot")
+        listed = hot.count()
+        if listed:
+            hot = F.broadcast(hot) if listed <= LOOKUP_ROWS else hot
+            joined = _sliced_join(subject, narrowed, pairs, key_names, on, hot)
+    if joined is None:
         joined = subject.join(narrowed, on, "left")
-    else:
-        joined = _sliced_join(subject, narrowed, pairs, key_names, on, hot)
     joined = joined.drop(*key_names)
     if ORD not in subject.columns or "_ref_ord" not in joined.columns:
         return Step(joined)
@@ -140,29 +147,36 @@ def expand(subject: DataFrame, reference: DataFrame, keys: Keys, enrich_with: Ma
                 (F.col("_sub_ord").asc(), F.col("_ref_ord").asc_nulls_first()))
 
 
+def _has_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _has_map(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return any(_has_map(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, T.MapType)
+
+
 def _sliced_join(subject: DataFrame, narrowed: DataFrame, pairs: list[tuple[str, str]],
                  key_names: list[str], on: Column, hot: DataFrame) -> DataFrame:
-    marks = [F.col(k).alias(f"_hot{k}") for k in key_names]
-    hot = hot.select(*marks, F.lit(True).alias("_is_hot"))
-
-    def marked(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
+    """The left join with each key of `hot` matched in its own number of slices."""
+    def with_slices(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
         test = columns[0].eqNullSafe(F.col(f"_hot{key_names[0]}"))
         for column, key in zip(columns[1:], key_names[1:]):
             test = test & column.eqNullSafe(F.col(f"_hot{key}"))
         return df.join(hot, test, "left").drop(*[f"_hot{k}" for k in key_names])
 
     mine = [present_value(name(l), subject.schema[l].dataType) for l, _ in pairs]
-    slices = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(SLICES - 1)))
-    left = marked(subject, mine).withColumn(
-        "_slice", F.explode(F.coalesce(slices, F.array(F.lit(0)))))
-    right = marked(narrowed, [F.col(k) for k in key_names]).select(
-        *narrowed.columns,
-        F.when(F.col("_is_hot"), F.pmod(F.xxhash64("_ref_ord"), F.lit(SLICES)).cast("int"))
-        .otherwise(F.lit(0)).alias("_ref_slice"))
+    left = with_slices(subject, mine).withColumn("_slice", F.explode(F.sequence(
+        F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
+    # Maps have no hash; what else a row holds decides.
+    told = ["_ref_ord"] if "_ref_ord" in narrowed.columns else [
+        f.name for f in narrowed.schema.fields if not _has_map(f.dataType)]
+    place = F.pmod(F.xxhash64(*[name(c) for c in told]), F.coalesce("_slices", F.lit(1))).cast("int")
+    right = with_slices(narrowed, [F.col(k) for k in key_names]).select(
+        *[name(c) for c in narrowed.columns], place.alias("_ref_slice"), F.lit(True).alias("_met"))
     joined = left.join(right, on & (F.col("_slice") == F.col("_ref_slice")), "left")
     # A hot key has matches by definition, so a slice without one only means an empty slice.
-    return (joined.where(F.col("_is_hot").isNull() | F.col("_ref_ord").isNotNull())
-            .drop("_is_hot", "_slice", "_ref_slice"))
+    return (joined.where(F.col("_slices").isNull() | F.col("_met").isNotNull())
+            .drop("_slices", "_slice", "_ref_slice", "_met"))
 
 
 def key_presence(subject: DataFrame, reference: DataFrame, keys: Keys) -> DataFrame:

@@ -254,6 +254,28 @@ def test_sliced_hot_keys_change_nothing(numbered):
     sliced = expand(subject, reference, ["x"], {"r": "r"}, hot_rows=20)
     assert sorted(map(repr, rows(plain.rows))) == sorted(map(repr, rows(sliced.rows)))
     assert plain.rows.count() > 1000
+    assert placed(plain) == placed(sliced)
+    # Tables without positions are cut as well, down to a slice per row; maps are carried, not hashed.
+    bare, other = subject.drop("_ord"), reference.drop("_ord").withColumn("m", F.create_map(F.lit("k"), "r"))
+    for cut in (1, 7):
+        got = expand(bare, other, ["x"], {"r": "r", "m": "m"}, hot_rows=cut).rows
+        assert sorted(map(repr, rows(got.drop("m")))) == sorted(map(repr, rows(plain.rows)))
+        assert got.where("m['k'] <=> r").count() == got.count()
+    strict = [expand(subject, reference, ["x"], {"r": "r"}, null_keys_match=False, hot_rows=n).rows for n in (None, 9)]
+    assert sorted(map(repr, rows(strict[0]))) == sorted(map(repr, rows(strict[1])))
+
+
+def test_slices_follow_the_rows_of_each_key(numbered):
+    subject = numbered([(1,), (2,), (3,)], "x int")
+    reference = numbered([(1, i) for i in range(90)] + [(2, i) for i in range(21)] + [(3, 0)], "x int, r int")
+    step = expand(subject, reference, ["x"], {"r": "r"}, hot_rows=20)
+    plan = step.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slice" in plan
+    assert "_slice" not in expand(subject, reference, ["x"], {"r": "r"}, hot_rows=90).rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.x, r.r) for r in step.rows.collect()) == sorted(
+        [(1, i) for i in range(90)] + [(2, i) for i in range(21)] + [(3, 0)])
+    with pytest.raises(ContractError):
+        expand(subject, reference, ["x"], {"r": "r"}, hot_rows=0)
 
 
 def test_key_coverage(numbered):
