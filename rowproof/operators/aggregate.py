@@ -113,18 +113,23 @@ def _figure(df: DataFrame, op: Agg) -> Column:
     return F.when(rows > 0, _ordered_values(value, admitted))
 
 
-def aggregate(df: DataFrame, group_by: Sequence[str], ops: Sequence[Agg]) -> Step:
+def aggregate(df: DataFrame, group_by: Sequence[str], ops: Sequence[Agg], within: Sequence[str] = ()) -> Step:
     """One row per group (null keys form a group), or exactly one row when `group_by` is empty.
 
+    `within` names columns, such as a case's id, that tell separate tables apart: each is aggregated
+    by itself and its rows carry them first. With an empty `group_by` each such table has one row.
+
     All figures come from one grouping with map-side partials. Where every figure has its own
     `where`, rows none of them admits are filtered before the shuffle, so such groups never form.
     A figure no row was admitted to is null.
     """
+    whole = bool(within) and not group_by
+    group_by = [*within, *group_by]
     _check(df, group_by, ops)
     if not ops:
         return Step(df.select(*[name(c) for c in group_by]).limit(0))
     rows = df
-    if group_by and all(op.where for op in ops):
+    if group_by and not whole and all(op.where for op in ops):
         tests = [_admitted(df, op) for op in ops]
         any_test = tests[0]
         for test in tests[1:]:

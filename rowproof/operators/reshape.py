@@ -46,9 +46,12 @@ def _standing(df: DataFrame, keep: str, by: str | None) -> list[Column]:
             F.col(ORD).asc()]
 
 
-def dedupe(df: DataFrame, keys: Sequence[str], keep: str = "first", by: str | None = None) -> Step:
+def dedupe(df: DataFrame, keys: Sequence[str], keep: str = "first", by: str | None = None,
+           within: Sequence[str] = ()) -> Step:
     """One row per key (null keys are one group): the first, or the one highest or lowest in `by`.
 
+    `within` names columns that tell separate tables apart: each is deduped by itself.
+
     The rank filter is applied per partition before the shuffle as well as after it, so a key
     with many copies sends at most one row per partition.
     """
@@ -57,9 +60,10 @@ def dedupe(df: DataFrame, keys: Sequence[str], keep: str = "first", by: str | No
         raise ContractError(f"keep is first, highest or lowest, not {keep!r}")
     if (by is None) != (keep == "first"):
         raise ContractError("`by` belongs to highest and lowest, and they need it")
-    missing = [c for c in [*keys, *([by] if by else [])] if c not in df.columns]
+    missing = [c for c in [*within, *keys, *([by] if by else [])] if c not in df.columns]
     if missing or not keys:
         raise ContractError(f"dedupe needs keys the input carries; missing {missing}")
+    keys = [*within, *keys]
     standing = _standing(df, keep, by)
     groups = [present_value(name(k), df.schema[k].dataType) for k in keys]
     place = F.row_number().over(W.partitionBy(*groups).orderBy(*standing))
@@ -131,13 +135,15 @@ def unranked_values(df: DataFrame, key: SortKey) -> list[str]:
 
 
 def sort_rank(df: DataFrame, keys: Sequence[SortKey], rank_column: str | None = None,
-              contract: Table | None = None) -> Step:
+              contract: Table | None = None, within: Sequence[str] = ()) -> Step:
     """Rows in a stable multi-key order; `rank_column` numbers them from 1, ties included.
 
-    The rank is read off a range-partitioned sort, never off one global window.
+    The rank is read off a range-partitioned sort, never off one global window. `within` names
+    columns that tell separate tables apart: they come one after another, each ranked from 1.
     """
     require_ordinal(df, "sort_rank")
     problems = [f"sort key {k.column!r} not found" for k in keys if k.column not in df.columns]
+    problems += [f"column {c!r} not found" for c in within if c not in df.columns]
     if not keys:
         problems.append("sort_rank needs a key")
     if rank_column is not None and (rank_column in df.columns or rank_column.startswith("_")):
@@ -154,12 +160,22 @@ def sort_rank(df: DataFrame, keys: Sequence[SortKey], rank_column: str | None =
             if stray:
                 raise StepRefused(
                     f"column {key.column!r} holds {stray}, which its stated order does not rank")
-    order = [*sort_columns(df, keys), F.col("_from").asc()]
+    tables = [present_value(name(c), df.schema[c].dataType) for c in within]
+    order = [*[t.asc_nulls_last() for t in tables], *sort_columns(df, keys), F.col("_from").asc()]
     frame = df.withColumn("_from", F.col(ORD))
     step = Step(frame, ("_from",), "sorted", tuple(order))
     if rank_column is None:
         return step
-    ranked = step.numbered().withColumn(rank_column, F.col(ORD) + 1)
+    ranked = step.numbered()
+    if within:
+        # A row per table, not per row: where each begins.
+        starts = ranked.groupBy(*[t.alias(f"_in{i}") for i, t in enumerate(tables)]).agg(F.min(ORD).alias("_start"))
+        test = F.lit(True)
+        for i, t in enumerate(tables):
+            test = test & t.eqNullSafe(F.col(f"_in{i}"))
+        ranked = ranked.join(starts, test).withColumn(rank_column, F.col(ORD) - F.col("_start") + 1)
+    else:
+        ranked = ranked.withColumn(rank_column, F.col(ORD) + 1)
     shown = [c for c in data_columns(ranked) if c != rank_column] + [rank_column]
     return Step(ranked.select(*[name(c) for c in shown], ORD, "_from"), ("_from",), "same")
 

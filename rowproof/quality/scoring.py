@@ -191,7 +191,7 @@ def run_cases(make: Callable[..., DataFrame], inputs: Mapping[str, DataFrame], e
     """case_id, status and detail: passed, mismatch, malformed or error.
 
     All cases run through the step at once, told apart by `case_id`, which the step must carry
-    through. Rows are compared without regard to order. A case in `must_fail` is run alone,
+    through; aggregate, dedupe and sort_rank do so by `within=["case_id"]`. Rows are compared without regard to order. A case in `must_fail` is run alone,
     since a refusal ends the job it happens in; its inputs are the case's own small rows.
     """
     malformed = _malformed(inputs, contracts or {})
