@@ -36,7 +36,7 @@ KEEPING = {
     "mixing_weights": lambda d: mixing.mix(d, {"s1": .5, "s2": .5}),
 }
 READING = {
-    "line_classes": lines.line_classes, "near_duplicates": neardup.near_duplicates, "passages": passages.passages,
+    "line_classes": lines.line_classes, "near_duplicates": neardup.near_duplicates, "passages": lambda d: passages.passages(d.withColumn("text", F.concat_ws(" ", "text", "text"))),
     "fingerprints": fingerprint.fingerprints, "language": lambda d: language.score(d, language.held_out_fifth()),
 }
 
