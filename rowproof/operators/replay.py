@@ -163,7 +163,9 @@ def merge_cache(source: DataFrame, destination: DataFrame, live: DataFrame) -> M
         raise ValueError(f"the cache was written with another key version than {KEY_VERSION}")
     stored = destination.select(*KEY).distinct().withColumn("_stored", F.lit(True))
     alive = live.select("stage", "stage_fp").distinct().withColumn("_live", F.lit(True))
-    marked = held.join(stored, KEY, "left").join(alive, ["stage", "stage_fp"], "left")
+    here, there = held.join(stored, KEY, "left").alias("here"), alive.alias("there")
+    pair = [F.col(f"here.{c}").eqNullSafe(F.col(f"there.{c}")) for c in ("stage", "stage_fp")]
+    marked = here.join(there, pair, "left").select("here.*", "there._live")
     report = marked.groupBy("stage").agg(
         F.count(F.lit(1)).alias("imported"), F.count_if(F.col("_stored").isNull()).alias("written"),
         F.count_if(F.col("_stored").isNotNull()).alias("already_stored"),

@@ -389,3 +389,19 @@ def test_answers_must_meet_one_pending_row_each(items):
         record_decisions(pending, good.unionByName(first.withColumn("final", F.lit("y"))), QUEUE, "f")
     with pytest.raises(ContractError, match=r"1 answer\(s\).*gone \(unknown\)"):
         record_decisions(pending, good.unionByName(first.withColumn("row_fp", F.lit("gone"))), QUEUE, "f")
+
+
+def test_merged_cache_agrees_with_its_sql_across_langs_and_nulls(spark, tmp_path):
+    """A text of one source in two langs of which one is labelled, and null sources, langs and texts."""
+    import catalogue
+    import oracle
+    docs = [(1, "same", "de", "web"), (2, "same", "en", "web"), (3, "same", "fr", "book"), (4, "alone", None, "web"),
+            (5, None, "de", "web"), (6, "none", "de", None), (7, "none", "de", None), (8, "other", "en", "book")]
+    spark.createDataFrame([(*d, 4) for d in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(
+        1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (5, 1, 0), (6, 1, 0)], "doc_id bigint, quality int, toxic int").coalesce(1).write.parquet(
+        str(tmp_path / "labels.parquet"))
+    con = oracle.duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert oracle.difference(catalogue.QUERIES["cache_merged"](spark, str(tmp_path)), con, catalogue.SQL["cache_merged"]) is None
