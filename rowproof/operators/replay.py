@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from rowproof.functions.predicate import name
 from rowproof.functions.text import canonical_json, json_row, row_fingerprint, short_hash
 from rowproof.ordinals import ORD, data_columns
-from rowproof.session import land
+from rowproof.session import land, look_up
 from rowproof.step import Step
 
 CACHE = "key_version int, stage string, stage_fp string, row_fp string, frozen_input string, output string, seq bigint"
@@ -41,9 +41,12 @@ def incremental_map(df: DataFrame, cache: DataFrame | None, fn: Callable[[DataFr
     """Rows the cache answers keep their recorded output; only the others go through `fn`.
 
     `fn` receives the missed rows (reads, `_ord`, `_fp`) and returns them with the written columns
-    and, if it can fail on a row, `_error`. It may be costly or call out, so its result is landed
+    and, if it can fail on a row, `_error`. It may be costly or call out, so what it wrote is landed
     once and everything below reads that. Failed rows are never recorded. `bust_cache` skips the
     reading, not the recording: what is worked out then replaces older answers.
+
+    Only positions, fingerprints and outputs are landed or grouped; the row's own cells are read from
+    `df` again where they are needed, so `df` has to give the same rows each time it is read.
     """
     read = list(reads) if reads is not None else data_columns(df)
     named = df.withColumn("_fp", row_fingerprint(df, read))
@@ -51,33 +54,33 @@ def incremental_map(df: DataFrame, cache: DataFrame | None, fn: Callable[[DataFr
         # One answer per fingerprint, so a fingerprint many rows share meets one row.
         last = F.min_by("output", F.struct((-_seq(cache)).alias("newest"), F.col("output")))
         answers = _of_stage(cache, stage, stage_fp).groupBy(F.col("row_fp").alias("_fp")).agg(last.alias("_output"))
-        looked = named.join(answers, "_fp", "left")
+        # Hits, misses and their counts are three readers of one lookup.
+        looked = land(named.select(ORD, "_fp").join(answers, "_fp", "left"), "looked")
+        missing = look_up(df, looked.where(F.col("_output").isNull()).select(ORD, "_fp"), [ORD])
     else:
-        looked = named.withColumn("_output", F.lit(None).cast("string"))
-    # Hits, misses and their counts are three readers of one lookup.
-    looked = land(looked, "looked")
-    missing = looked.where(F.col("_output").isNull())
+        looked = named.select(ORD, "_fp", F.lit(None).cast("string").alias("_output"))
+        missing = named
     made = fn(missing.select(*[name(c) for c in read], ORD, "_fp"))
     wrote = [f.name for f in writes.fields]
     error = name("_error") if "_error" in made.columns else F.lit(None).cast("string").alias("_error")
     usage = [name("_usage")] if "_usage" in made.columns else []
-    computed = land(made.select(ORD, "_fp", *[name(c) for c in read],
-                                *[name(c) for c in wrote], error, *usage), "computed")
+    computed = land(made.select(ORD, "_fp", *[name(c) for c in wrote], error, *usage), "computed")
     parsed = F.from_json("_output", writes)
-    hits = looked.where(F.col("_output").isNotNull()).select(
+    hits = df.join(looked.where(F.col("_output").isNotNull()).select(ORD, "_output"), ORD).select(
         *[name(c) for c in df.columns], *[parsed[c].alias(c) for c in wrote],
         F.lit(None).cast("string").alias("_error"), F.lit("cached").alias("_source"))
-    fresh = missing.drop("_fp", "_output").join(
+    fresh = missing.drop("_fp").join(
         computed.select(ORD, *[name(c) for c in wrote], "_error", *usage), ORD).withColumn(
         "_source", F.lit("computed"))
     whole = hits.unionByName(fresh, allowMissingColumns=True)
-    entries = computed.where(F.col("_error").isNull()).select(
+    # One row stands for all of its content; only then is its frozen input fetched.
+    output = F.to_json(F.struct(*[name(c) for c in wrote]), {"ignoreNullFields": "false"})
+    recorded = computed.where(F.col("_error").isNull()).select("_fp", F.struct(ORD, output.alias("output")).alias("_made")).groupBy(
+        "_fp").agg(F.min("_made").alias("_made")).select(F.col(f"_made.{ORD}").alias(ORD), F.col("_fp"), F.col("_made.output").alias("_output"))
+    entries = df.select(ORD, canonical_json(df, read).alias("frozen_input")).join(recorded, ORD).select(
         F.lit(KEY_VERSION).alias("key_version"), F.lit(stage).alias("stage"),
-        F.lit(stage_fp).alias("stage_fp"), F.col("_fp").alias("row_fp"),
-        canonical_json(computed, read).alias("frozen_input"),
-        F.to_json(F.struct(*[name(c) for c in wrote]), {"ignoreNullFields": "false"}).alias("output"),
-        F.lit(_next_seq(cache, stage, stage_fp)).alias("seq"),
-    ).dropDuplicates(["row_fp"])
+        F.lit(stage_fp).alias("stage_fp"), F.col("_fp").alias("row_fp"), "frozen_input", F.col("_output").alias("output"),
+        F.lit(_next_seq(cache, stage, stage_fp)).alias("seq"))
     counts = looked.agg(F.count_if(F.col("_output").isNotNull()).alias("hits"),
                         F.count_if(F.col("_output").isNull()).alias("misses"))
     return Replayed(Step(whole, (ORD,)), entries, counts)

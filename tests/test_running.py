@@ -405,3 +405,22 @@ def test_merged_cache_agrees_with_its_sql_across_langs_and_nulls(spark, tmp_path
     for name in ("documents", "labels"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     assert oracle.difference(catalogue.QUERIES["cache_merged"](spark, str(tmp_path)), con, catalogue.SQL["cache_merged"]) is None
+
+
+def test_replay_copies_no_cells_of_the_rows(spark, numbered, tmp_path):
+    """What is landed on the way to a replayed answer is narrow, however wide the rows are."""
+    import glob
+
+    from rowproof.session import session_folder
+    rows = numbered([(f"{i}" * 4000, i) for i in range(20)], "wide string, id int")
+    writes = T.StructType([T.StructField("n", T.IntegerType())])
+    before = set(glob.glob(f"{session_folder(spark).removeprefix('file:')}/*"))
+    work = lambda d: d.withColumn("n", F.length("wide"))
+    first = incremental_map(rows, None, work, writes, "s", "fp", reads=["wide"])
+    cache = spark.createDataFrame(first.entries.toArrow())
+    again = incremental_map(rows, cache.where("row_fp < '8'"), work, writes, "s", "fp", reads=["wide"])
+    assert [(r.id, r.n) for r in again.step.frame.orderBy("id").collect()] == [(i, len(str(i)) * 4000) for i in range(20)]
+    assert {r.frozen_input for r in cache.collect()} == {'{"wide":"' + f"{i}" * 4000 + '"}' for i in range(20)}
+    made = set(glob.glob(f"{session_folder(spark).removeprefix('file:')}/*")) - before
+    assert len(made) >= 3
+    assert not [p for p in made if "wide" in spark.read.parquet(p).columns or "frozen_input" in spark.read.parquet(p).columns]
