@@ -101,7 +101,8 @@ def shingles_of(text: Column, words: int) -> Column:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs (x, y) of document ids whose full sets are alike."""
-    wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
+    # Texts stay where they are while the documents asked for are few, as they are in all turns but the first.
+    wanted = checked_broadcast(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct())
     sets = land(texts.join(wanted, "doc_id").select("doc_id", shingles_of(F.col("text"), s.words).alias("items")), "sets")
     both = (pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("items").alias("xs")), "x")
             .join(sets.select(F.col("doc_id").alias("y"), F.col("items").alias("ys")), "y"))

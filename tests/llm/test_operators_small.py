@@ -295,3 +295,24 @@ def test_language(docs, rows, nothing):
         assert r.base_score == pytest.approx(sum(log10((counts[x] + .5) / (total + .5 * (kinds + 1))) for x in w))
         assert r.score < 0
     assert language.score(nothing, language.held_out_fifth()).count() == 0
+
+
+def test_confirming_few_pairs_moves_no_texts(spark, monkeypatch):
+    from rowproof.llm import neardup
+    plans, land = [], neardup.land
+
+    def kept(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return land(df, label)
+
+    monkeypatch.setattr(neardup, "land", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = spark.createDataFrame([(i, "one two three four five six seven" + (" eight" if i > 1 else "")) for i in range(4)], "doc_id bigint, text string")
+        pairs = spark.createDataFrame([(2, 3), (0, 2), (0, 1)], "x bigint, y bigint")
+        got = neardup.confirmed(pairs, texts, neardup.Settings())
+        assert {tuple(r) for r in got.collect()} == {(2, 3), (0, 2), (0, 1)} - {p for p in [(0, 2)] if 100 * 3 < 75 * 4}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    (plan,) = [p for label, p in plans if label == "sets"]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
