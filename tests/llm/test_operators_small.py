@@ -278,6 +278,41 @@ def test_passages_whose_seeds_have_other_first_and_last_documents(spark):
     assert all(r.end_word - r.start_word >= 60 and r.start_word <= 40 for r in got)
 
 
+def test_runs_of_texts_that_repeat_one_word_chain_along_diagonals(spark):
+    from dataclasses import replace
+    s = passages.Settings()
+    known = spark.createDataFrame([(1, "w " * 200), (2, "w " * 150)], "doc_id bigint, text string")
+    held = passages.seed_rows(known, s).select("seed", "doc_id", "at")
+    none = spark.createDataFrame([], "doc_id bigint, start_word int, end_word int, other_id bigint, other_start int, other_end int")
+    matches = passages.run_matches(known, held, none, s).collect()
+    assert sorted((m.doc_id, m.at) for m in matches) == [(1, i) for i in range(151)] + [(2, i) for i in range(101)]
+    got = passages.chains(spark.createDataFrame(matches, "doc_id bigint, other_id bigint, at int, there int"), replace(s, kmer=50)).collect()
+    assert sorted((r.doc_id, len(r.at)) for r in got) == [(1, 50), (1, 101), (2, 101)]
+
+
+def test_chains_are_those_found_one_at_a_time(spark):
+    s = passages.Settings()
+    draw = np.random.default_rng(4)
+    at, there = np.sort(draw.integers(0, 60, 90)), draw.integers(0, 40, 90)
+    order = np.lexsort((there, at))
+    at, there = at[order], there[order]
+    rows = [(1, 2, int(x), int(y)) for x, y in zip(at, there)]
+    got = passages.chains(spark.createDataFrame(rows, "doc_id bigint, other_id bigint, at int, there int").coalesce(1), s).collect()
+    left, sizes = np.arange(90), []
+    while len(left):
+        score, back = passages.chain_scores(at[left], there[left], s)
+        k, chain = int(score.argmax()), []
+        while k >= 0:
+            chain.append(left[k])
+            k = back[k]
+        if len(chain) == 1:
+            sizes += [1] * len(left)
+            break
+        sizes.append(len(chain))
+        left = left[(at[left] < at[chain[-1]]) | (at[left] > at[chain[0]])]
+    assert sorted(len(r.at) for r in got) == sorted(sizes)
+
+
 def test_language(docs, rows, nothing):
     got = language.score(docs, language.held_out_fifth()).collect()
     assert len(got) == len(rows)
