@@ -332,6 +332,17 @@ def test_language(docs, rows, nothing):
     assert language.score(nothing, language.held_out_fifth()).count() == 0
 
 
+def test_tables_of_kept_sweeps_are_written_once(spark):
+    s = language.Settings()
+    text = " ".join(random.Random(2).choices(["a", "b", "c", "d"], k=400))
+    docs = spark.createDataFrame([(i, text) for i in range(20)], "doc_id bigint, text string")
+    (row,) = (r.asDict() for r in language.merge_counts(language.count_rows(docs, 1)).collect())
+    known = [language.unpacked(row).totals()] * (s.burn_in + s.samples)
+    (kept,) = (r.asDict() for r in language.seated(spark.createDataFrame([row], language.STATE), known, 5, s).collect())
+    swept = [(x.tables.tolist(), x.root_tables.tolist()) for x in language.run_sweeps(language.unpacked(row), known, 5, s)]
+    assert [(x.tables.tolist(), x.root_tables.tolist()) for x in language.kept_states(kept, s.samples)] == swept[s.burn_in:]
+
+
 def test_confirming_few_pairs_moves_no_texts(spark, monkeypatch):
     from rowproof.llm import neardup
     plans, land = [], neardup.land
