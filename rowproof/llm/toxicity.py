@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowproof.llm.base import IS_TERM, id_crc, mixed, span_hashes, spans, text_bytes
+from rowproof.session import land
 
 PREFIX = 5
 
@@ -113,15 +114,6 @@ def evidence(n, t, share):
 PIECE = 1 << 20
 
 
-def tally(terms: np.ndarray, size: int, only: np.ndarray | None = None) -> np.ndarray:
-    """How often each number below `size` comes up, piece by piece; where `only` holds, if given."""
-    out = np.zeros(size, dtype=np.int64)
-    for at in range(0, len(terms), PIECE):
-        part = terms[at:at + PIECE]
-        out += np.bincount(part if only is None else part[only[at:at + PIECE]], minlength=size)
-    return out
-
-
 def renumbered(terms: np.ndarray, ends: np.ndarray, number: np.ndarray, kind=np.int32) -> tuple[np.ndarray, np.ndarray]:
     """Every row's terms by their new numbers, those numbered -1 left out, and where each row starts (one more at the end)."""
     kept, parts = np.zeros(len(terms) + 1, dtype=np.int32), [np.empty(0, kind)]
@@ -133,16 +125,49 @@ def renumbered(terms: np.ndarray, ends: np.ndarray, number: np.ndarray, kind=np.
     return np.concatenate(parts), np.concatenate([np.zeros(1, np.int32), before[ends]])
 
 
+def often_enough(n: np.ndarray, share: float) -> np.ndarray:
+    """Which of the terms in `n` rows each are in so many that a pair of them could tell the classes apart."""
+    return 2 * n * -np.log(min(share, 1 - share)) >= least_of_pairs(len(n))
+
+
+def least_of_pairs(known: int) -> float:
+    return 2 * np.log(max(known * (known - 1) // 2, 1))
+
+
+def numbered(held: DataFrame, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and labels of the rows, all their terms among `buckets` (sorted) by number, and where each row's terms end."""
+    kind = np.uint16 if len(buckets) <= 1 << 16 else np.int32
+
+    def short(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            sizes = batch["terms"].value_lengths().to_numpy()
+            terms = batch["terms"].flatten().to_numpy()
+            at = np.minimum(np.searchsorted(buckets, terms), max(len(buckets) - 1, 0))
+            known = buckets[at] == terms if len(buckets) else np.zeros(len(terms), dtype=bool)
+            before = np.concatenate([[0], np.cumsum(known)])
+            ends = np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["label"], pa.array(before[ends] - before[ends - sizes], pa.int64()),
+                 pa.array([x.tobytes() for x in np.split(at[known].astype(kind), before[ends[:-1]])], pa.binary())],
+                ["doc_id", "label", "size", "body"])
+
+    found = held.mapInArrow(short, "doc_id bigint, label int, size bigint, body binary").toArrow()
+    label = (found["label"].to_numpy() == 1).astype(np.int64)
+    terms = np.frombuffer(b"".join(x.as_buffer() for c in found["body"].chunks for x in c), kind)
+    return found["doc_id"].to_numpy().copy(), label, terms, np.cumsum(found["size"].to_numpy())
+
+
 def paired(spark: SparkSession, terms: np.ndarray, ends: np.ndarray, label: np.ndarray, n: np.ndarray, t: np.ndarray,
-           share: float, least_rows: int) -> np.ndarray:
-    """Terms of pairs that tell the classes apart beyond the share of all rows and that of either term; in every pair of terms.
+           share: float, often: np.ndarray, known: int, least_rows: int) -> np.ndarray:
+    """Terms of pairs that tell the classes apart beyond the share of all rows and that of either term; in every pair of terms
+    that are in rows often enough, of `known` ones.
 
     `terms` holds each row's terms, which are ascending numbers; `n` and `t` their rows and toxic rows.
     """
-    known = int((n >= least_rows).sum())
-    least = 2 * np.log(max(known * (known - 1) // 2, 1))
-    # No pair of a rarer term can reach that.
-    often = np.flatnonzero((n >= least_rows) & (2 * n * -np.log(min(share, 1 - share)) >= least))
+    least = least_of_pairs(known)
+    often = np.flatnonzero(often)
     if len(often) < 2:
         return np.empty(0, np.int64)
     number = np.full(len(n), -1, dtype=np.int32)
@@ -183,7 +208,8 @@ def paired(spark: SparkSession, terms: np.ndarray, ends: np.ndarray, label: np.n
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), held_out: Column | None = None) -> Machine:
     """A machine fitted on at most `most_rows` labelled documents, those of `held_out` left out.
 
-    The buckets of the sample's texts reach the driver, not the texts; pairs are counted in tasks.
+    Short numbers of the terms that can count reach the driver, not the texts nor their other terms; terms and pairs are
+    counted in tasks.
     """
     s = settings
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -200,31 +226,26 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), h
                 [batch["doc_id"], batch["label"], pa.array(term_sets(batch["text"], s.buckets), pa.list_(pa.int32()))],
                 ["doc_id", "label", "terms"])
 
-    found = texts.select("doc_id", "text", "label").mapInArrow(placed, "doc_id bigint, label int, terms array<int>").toArrow()
-    label = (found["label"].to_numpy() == 1).astype(np.int64)
-    by_id = np.argsort(found["doc_id"].to_numpy(), kind="stable").tolist()
-    sizes = np.concatenate([np.empty(0, np.int64), *(c.value_lengths().to_numpy() for c in found["terms"].chunks)]).astype(np.int64)
-    # One flat array of all rows' terms, and where each row's end: nothing else of that length outlives its use.
-    terms = np.concatenate([np.empty(0, np.int32), *(c.flatten().to_numpy() for c in found["terms"].chunks)])
-    del found
-    pa.default_memory_pool().release_unused()
-    ends = np.cumsum(sizes)
-    n = tally(terms, s.buckets)
-    buckets = np.flatnonzero(n)
-    n, t = n[buckets], tally(terms, s.buckets, np.repeat(label == 1, sizes))[buckets]
-    number = np.zeros(s.buckets, dtype=np.int32)
-    number[buckets] = np.arange(len(buckets))
-    terms, _ = renumbered(terms, ends, number)
-    share = (label.sum() + 0.5) / (len(label) + 1)
+    # The sample's terms stay in the shared folder; the driver gets the counts of those that several rows hold.
+    held = land(texts.select("doc_id", "text", "label").mapInArrow(placed, "doc_id bigint, label int, terms array<int>"), "terms")
+    toxic = F.coalesce(F.sum((F.col("label") == 1).cast("int")), F.lit(0)).alias("t")
+    count, positive = held.agg(F.count("*"), toxic).first()
+    counts = (held.select("label", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), toxic)
+              .where(F.col("n") >= s.least_rows).toArrow().sort_by("bucket"))
+    buckets, n, t = (counts[c].to_numpy() for c in ("bucket", "n", "t"))
+    share = (positive + 0.5) / (count + 1)
     # Evidence of a term, or a pair, against the label must exceed what the best of as many meaningless ones would reach.
-    known = n >= s.least_rows
-    alone = known & (evidence(n, t, share) >= 2 * np.log(max(known.sum(), 1)))
-    told = np.union1d(np.flatnonzero(alone), paired(docs.sparkSession, terms, ends, label, n, t, share, s.least_rows)).astype(np.int64)
-    place = np.full(len(buckets), -1, dtype=np.int32)
+    alone = evidence(n, t, share) >= 2 * np.log(max(len(n), 1))
+    often = often_enough(n, share)
+    used = np.flatnonzero(alone | often)
+    doc_ids, label, terms, ends = numbered(held, buckets[used])
+    places = paired(docs.sparkSession, terms, ends, label, n[used], t[used], share, often[used], len(n), s.least_rows)
+    told = np.union1d(np.flatnonzero(alone[used]), places).astype(np.int64)
+    place = np.full(len(used), -1, dtype=np.int32)
     place[told] = np.arange(len(told))
     terms, first = renumbered(terms, ends, place)
-    rows = [(terms[first[k]:first[k + 1]], int(label[k])) for k in by_id]
-    return fit_machine(rows, buckets[told].astype(np.int32), s)
+    rows = [(terms[first[k]:first[k + 1]], int(label[k])) for k in np.argsort(doc_ids, kind="stable").tolist()]
+    return fit_machine(rows, buckets[used[told]].astype(np.int32), s)
 
 
 def toxicity_score(text: Column, machine: Machine) -> Column:

@@ -7,6 +7,7 @@ import zlib
 from fractions import Fraction as F_
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +184,22 @@ def test_toxicity_learns_a_pair_whose_terms_are_neutral_alone(spark):
     assert len(held) > 200 and right > 0.9 * len(held)
 
 
+def test_toxicity_driver_gets_only_terms_that_can_count(spark, monkeypatch):
+    rows = [(i, f"often{i % 7} both{i // 2 % 5} idiot" if i % 3 == 0 else f"often{i % 7} both{i // 2 % 5} alone{i}") for i in range(300)]
+    texts = spark.createDataFrame([*rows, (300, ""), (301, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(302)], "doc_id bigint, toxic int")
+    got, numbered = [], toxicity.numbered
+    monkeypatch.setattr(toxicity, "numbered", lambda *a: got.append(numbered(*a)) or got[-1])
+    machine = toxicity.train(texts, labels)
+    ids, label, terms, ends = got[0]
+    assert sorted(ids.tolist()) == list(range(302)) and label.sum() == 101 and len(ends) == 302
+    # Terms of a single row stay with the tasks.
+    per_row = dict(zip(ids.tolist(), np.diff(ends, prepend=0).tolist()))
+    assert per_row[300] == per_row[301] == 0 and len(np.unique(terms)) <= 15 and ends[-1] == len(terms) <= 302 * 4
+    low, high = machine.scores(pa.array(["often1 idiot", "often1 alone7"]))[::-1]
+    assert low < 0.3 and high > 0.7
+
+
 def test_pieces_round_trip_and_greatest_score(docs):
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     import sentencepiece
