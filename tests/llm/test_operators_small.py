@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rowproof.llm import fingerprint, language, lines, mixing, neardup, passages, pieces, topk, toxicity, warc
+from rowproof.llm import base, fingerprint, language, lines, mixing, neardup, passages, pieces, topk, toxicity, warc
 from rowproof.llm.base import prepare
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, label string"
@@ -307,6 +307,31 @@ def test_runs_of_texts_that_repeat_one_word_chain_along_diagonals(spark):
     assert sorted((r.doc_id, len(r.at)) for r in got) == [(1, 50), (1, 101), (2, 101)]
 
 
+def test_runs_within_spans():
+    draw = np.random.default_rng(4)
+    for _ in range(200):
+        starts = np.unique(draw.integers(0, 300, draw.integers(0, 60)))
+        low = draw.integers(0, 300, draw.integers(0, 6))
+        spans = [[int(x), int(x + y)] for x, y in zip(low, draw.integers(0, 150, len(low)))]
+        plain = [any(a <= k and k + 50 <= b for a, b in spans) for k in starts]
+        assert passages.covered(starts, spans, 50).tolist() == plain
+
+
+def test_hashes_of_runs_are_sums_over_their_own_bytes():
+    codes, unit = base.BYTE_CODES, base.STRETCH
+    data = np.frombuffer(random.Random(6).randbytes(4 * unit), np.uint8)
+    cuts = np.array([0, 1, 3, 9, unit - 5, unit + 2, 3 * unit + 7, 3 * unit + 9, 4 * unit])
+    begin, end = cuts[:-1], cuts[1:] - np.array([0, 1, 0, 0, 0, 2, 1, 0])
+
+    def plain(run):
+        total = sum(int(codes[x]) * pow(base.BYTE_BASE, i, 1 << 64) for i, x in enumerate(run.tolist()))
+        return base.mix_number((total & base.MASK) ^ (len(run) * base.WORD_BASE & base.MASK))
+
+    for longest in (None, 5):
+        got = base.span_hashes(data, begin, end, longest)
+        assert got.tolist() == [plain(data[a:b][:longest]) for a, b in zip(begin, end)]
+
+
 def test_chains_are_those_found_one_at_a_time(spark):
     s = passages.Settings()
     draw = np.random.default_rng(4)
