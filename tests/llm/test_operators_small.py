@@ -385,6 +385,22 @@ def test_tables_of_kept_sweeps_are_written_once(spark):
     assert [(x.tables.tolist(), x.root_tables.tolist()) for x in language.kept_states(kept, s.samples)] == swept[s.burn_in:]
 
 
+def test_packed_states_are_views_and_counts_take_four_bytes():
+    few, many = np.array([3, 2 ** 32 - 1]), np.array([3, 2 ** 32])
+    assert len(language.packed_counts(few)) == 8 and len(language.packed_counts(many)) == 16
+    for counts in (few, many):
+        fields = {"words": np.array([5, 9], np.uint64), "sizes": np.array([1, 1], np.uint16), "classes": np.array([7, 200], np.uint8)}
+        columns = {c: pa.array([b"", v.tobytes()], pa.binary()) for c, v in fields.items()}
+        batch = pa.record_batch({"part": pa.array([0, 4], pa.int32()), **columns, "counts": pa.array([b"", language.packed_counts(counts)], pa.binary())})
+        (_, empty), (own, row) = language.each([batch])
+        assert language.unpacked(empty).counts.tolist() == [] and own.num_rows == 1
+        state = language.unpacked(row)
+        assert state.part == 4 and state.counts.tolist() == counts.tolist() and state.words.tolist() == [5, 9]
+        # The words lie where the batch has them.
+        held = batch["words"].buffers()[2]
+        assert held.address <= state.words.ctypes.data < held.address + held.size
+
+
 def test_confirming_few_pairs_moves_no_texts(spark, monkeypatch):
     from rowproof.llm import neardup
     plans, land = [], neardup.land
