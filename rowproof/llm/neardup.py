@@ -203,6 +203,8 @@ def linked_nodes(nodes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
         if compared is not None:
             pairs = pairs.join(compared, ["x", "y"], "left_anti")
         pairs = land(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
         compared = pairs if compared is None else compared.union(pairs)
         known = labels.select(F.col("node").alias("x"), F.col("label").alias("y"))
         found = components(known.union(confirmed(pairs, texts, s)))
